@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .fingerprint import op4_fingerprints
 from .mixing import OP2_SQL, op2_source_mix
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op4_fingerprints": op4_fingerprints,
 }
 ORACLE_SQL = {
     "op2_source_mix": OP2_SQL,
