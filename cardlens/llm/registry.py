@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .fingerprint import op4_fingerprints
 from .mixing import OP2_SQL, op2_source_mix
+from .simhash_dedup import op3_simhash_dedup
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op4_fingerprints": op4_fingerprints,
 }
 ORACLE_SQL = {
