@@ -6,14 +6,17 @@ from .fingerprint import op4_fingerprints
 from .mixing import OP2_SQL, op2_source_mix
 from .secret_scan import OP5_SQL, op5_secret_scan
 from .simhash_dedup import op3_simhash_dedup
+from .topk import OP10_SQL, op10_topk
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op10_topk": op10_topk,
 }
 ORACLE_SQL = {
     "op2_source_mix": OP2_SQL,
     "op5_secret_scan": OP5_SQL,
+    "op10_topk": OP10_SQL,
 }
