@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .fingerprint import op4_fingerprints
+from .langid import op7_language_id
 from .mixing import OP2_SQL, op2_source_mix
 from .secret_scan import OP5_SQL, op5_secret_scan
 from .simhash_dedup import op3_simhash_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op7_language_id": op7_language_id,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
 }
