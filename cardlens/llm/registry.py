@@ -9,6 +9,7 @@ from .mixing import OP2_SQL, op2_source_mix
 from .secret_scan import OP5_SQL, op5_secret_scan
 from .simhash_dedup import op3_simhash_dedup
 from .topk import OP10_SQL, op10_topk
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
@@ -16,11 +17,13 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
 }
 ORACLE_SQL = {
     "op2_source_mix": OP2_SQL,
     "op5_secret_scan": OP5_SQL,
+    "op8_warc": OP8_SQL,
     "op10_topk": OP10_SQL,
 }
