@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +49,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Bounds the rows of a batch for Python workers, as single texts may be very long."""
+    """Bounds the rows of a batch for Python workers, as single texts may be very long, and gives them this package if their path lacks it."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(package.parent) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_cardlens_sent", False):
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+        context._cardlens_sent = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

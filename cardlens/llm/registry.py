@@ -9,9 +9,11 @@ from .mixing import OP2_SQL, op2_source_mix
 from .secret_scan import OP5_SQL, op5_secret_scan
 from .simhash_dedup import op3_simhash_dedup
 from .topk import OP10_SQL, op10_topk
+from .toxicity import op1_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_source_mix": op2_source_mix,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_fingerprints": op4_fingerprints,
