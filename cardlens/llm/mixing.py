@@ -7,7 +7,7 @@ prefix-summed; only the one bucket in which the budget ends is sorted. No source
 
 Defined cases: a null text has 0 words; a null source is a source, ordered last; a null doc_id draws its key as the
 string "null"; rows of equal keys (repeated rows) at the end of the budget share what is left by size; a source without
-words has target 0; an empty table gives an empty table; columns other than doc_id, source and text are ignored.
+words has target 0; a row without words has no copies; an empty table gives an empty table; columns other than doc_id, source and text are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def taken(rows: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
     plan = small(plan).alias("p")
     part = F.when(F.col("key") < F.col("end_key"), F.col("size")).when(F.col("key") == F.col("end_key"), F.floor(F.col("end_left") * F.col("size") / F.greatest(F.col("end_size"), F.lit(1))).cast("long")).otherwise(F.lit(0).cast("long"))
     joined = rows.join(plan, F.col("p.source").eqNullSafe(rows["source"]))
-    return joined.select(*[rows[c] for c in columns], F.col("source_size"), F.col("target"), F.col("epochs"), (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + (part > 0).cast("long")).alias("copies"))
+    return joined.select(*[rows[c] for c in columns], F.col("source_size"), F.col("target"), F.col("epochs"), (F.col("epochs") * F.col("size") + part).alias("taken"), F.when(F.col("size") > 0, F.col("epochs") + (part > 0).cast("long")).otherwise(0).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -114,7 +114,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     each = docs.withColumns({"_mix_key": exponential_key("doc_id", quality()), "_mix_size": words()})
     joined = each.join(plan, F.col("_mix_source").eqNullSafe(each["source"]))
     tied = F.floor(F.col("_mix_end_left") * F.col("_mix_size") / F.greatest(F.col("_mix_end_size"), F.lit(1))) > 0
-    copies = F.col("_mix_epochs") + F.when((F.col("_mix_key") < F.col("_mix_end_key")) & (F.col("_mix_size") > 0) | (F.col("_mix_key") == F.col("_mix_end_key")) & tied, 1).otherwise(0)
+    more = F.when((F.col("_mix_key") < F.col("_mix_end_key")) | (F.col("_mix_key") == F.col("_mix_end_key")) & tied, 1).otherwise(0)
+    copies = F.when(F.col("_mix_size") > 0, F.col("_mix_epochs") + more).otherwise(0)
     repeats = F.explode(F.sequence(F.lit(1), copies.cast("int")))
     return joined.filter(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns], repeats.alias("_mix_copy")).drop("_mix_copy")
 
@@ -143,5 +144,5 @@ p AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, c.tied,
     floor(b.target)::BIGINT - b.epochs * b.source_size - c.before AS room
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.key = d.key),
 q AS (SELECT *, CASE WHEN room >= tied THEN size WHEN room > 0 THEN floor(room::DOUBLE * size / greatest(tied, 1))::BIGINT ELSE 0 END AS part FROM p)
-SELECT doc_id, size, source_size, target, epochs::BIGINT AS epochs, (epochs * size + part)::BIGINT AS taken, (epochs + CASE WHEN part > 0 THEN 1 ELSE 0 END)::BIGINT AS copies FROM q
+SELECT doc_id, size, source_size, target, epochs::BIGINT AS epochs, (epochs * size + part)::BIGINT AS taken, (CASE WHEN size > 0 THEN epochs + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS copies FROM q
 """

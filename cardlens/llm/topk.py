@@ -9,7 +9,8 @@ by query.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without a vec_id, take no part; rows
 of the query's own vec_id count as its own; shorter vectors are filled up with zeros; equal scores go to the smaller
-vec_id; an empty table gives an empty table; other columns are ignored. Products beyond 2**53 are summed as exact integers.
+vec_id; an empty table gives an empty table; other columns are ignored. Products beyond 2**53 are summed as exact integers;
+a score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
