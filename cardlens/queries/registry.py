@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relational, sketch_queries
+
+QUERIES = relational.QUERIES | sketch_queries.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | sketch_queries.ORACLE_SQL
