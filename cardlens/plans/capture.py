@@ -16,7 +16,7 @@ def _seq(x) -> list:
 
 
 def _option(x) -> int | None:
-    return int(x.get().toString()) if x.isDefined() else None
+    return int(str(x.get())) if x.isDefined() else None
 
 
 def is_join(name: str) -> bool:
