@@ -3,6 +3,7 @@ import sys
 import pytest
 
 from cardlens.llm import registry
+from cardlens.llm.common import written
 
 from .test_bpe import expected
 from .util import empty_documents, odd_documents, rows_of, save, with_clashes
@@ -14,7 +15,7 @@ def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n, columns = docs.count(), docs.columns
     for name, stage in pipeline.STAGES[:-1]:
-        docs = pipeline.written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name)
         assert docs.columns == columns
         if name in ("language_id", "line_dedup"):
             assert n * 0.95 <= docs.count() <= n
