@@ -6,6 +6,7 @@ import math
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +72,12 @@ class BloomFilter:
 
     @classmethod
     def collect(cls, bit_rows: DataFrame, num_bits: int, num_hashes: int) -> BloomFilter:
-        """From packed bytes: rows are grouped by byte first, so no more than the filter itself is collected."""
-        packed = bit_rows.groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.sum(F.shiftleft(F.lit(1), (F.col("bit") % 8).cast("int"))).alias("value"))
-        out = bytearray(-(-num_bits // 8))
-        for row in packed.toLocalIterator():
-            out[row["byte"]] = row["value"]
-        return cls(bytes(out), num_hashes, num_bits)
+        """Bits are packed to 32-bit words by the executors and come as Arrow columns: 12 bytes for each word that is not zero."""
+        word, place = F.floor(F.col("bit") / 32), F.pow(F.lit(2), F.col("bit") % 32).cast("long")
+        packed = bit_rows.groupBy(word.alias("word")).agg(F.sum(place).alias("value")).toArrow()
+        words = np.zeros(-(-num_bits // 32), "<u4")
+        words[packed["word"].to_numpy()] = packed["value"].to_numpy().astype("<u4")
+        return cls(words.tobytes()[: -(-num_bits // 8)], num_hashes, num_bits)
 
     def contains(self, value: bytes) -> bool:
         import xxhash

@@ -7,7 +7,9 @@ They are not TPC-H results.
 
 from __future__ import annotations
 
-from cardlens.sources.tables import register
+import re
+
+from cardlens.sources.tables import TABLES, register
 
 PARTSUPP = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
 REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -115,8 +117,10 @@ TEXTS = {f"tpch_{k}": v for k, v in TPCH.items()} | {f"synthetic_{k}": v for k,
 
 
 def _query(text: str):
+    used = tuple(t for t in TABLES if re.search(rf"\b{t}\b", text))
+
     def run(spark, sf_dir: str):
-        register(spark, sf_dir)
+        register(spark, sf_dir, used)
         return spark.sql(text)
 
     return run

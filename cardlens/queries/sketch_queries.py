@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from cardlens.operators import bloom, cms, histograms, hll
 from cardlens.plans import feedback
+from cardlens.sources.tables import table
 
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 _W = 18446744073709551616
 
 
 def _t(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def hash_ctes(values: str, seeds: list[int]) -> str:

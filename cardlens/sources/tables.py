@@ -14,9 +14,18 @@ from . import puffin
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of the folder. Its schema is read once for each session; rows are read anew by every query."""
+    known = spark.__dict__.setdefault("_cardlens_schemas", {})
+    path = f"{folder}/{name}.parquet"
+    if path not in known:
+        known[path] = spark.read.parquet(path).schema
+    return spark.read.schema(known[path]).parquet(path)
+
+
 def register(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
     """Temporary views of the folder's Parquet tables; a missing one is an error."""
-    found = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    found = {n: table(spark, folder, n) for n in names}
     for n, df in found.items():
         df.createOrReplaceTempView(n)
     return found
