@@ -43,6 +43,11 @@ def seed_literal(seed: int) -> int:
     return value - _M if value >= _M // 2 else value
 
 
+def micros(c: Column, kind: T.DataType) -> Column:
+    """Microseconds since 1970; a timestamp without zone counts as UTC, whatever the session's zone."""
+    return F.unix_micros(F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone()) if isinstance(kind, T.TimestampNTZType) else c)
+
+
 def canonical(df: DataFrame, name: str) -> Column:
     """The column in a type whose bytes Spark hashes as they are in Arrow: little-endian numbers, UTF-8 text, raw binary.
 
@@ -58,10 +63,8 @@ def canonical(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.ShortType):
         text = F.lpad(F.hex(c.cast("long")), 16, "0")
         return F.unhex(F.concat(F.substring(text, -2, 2), F.substring(text, -4, 2)))
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c) * 1000
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())) * 1000
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(c, kind) * 1000
     raise TypeError(f"column {name}: {kind.simpleString()} has no canonical bytes")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardlens.functions.hashing import micros
+
 
 def numeric(df: DataFrame, column: str):
     """The column as double; dates as days, timestamps as nanoseconds."""
@@ -18,7 +20,7 @@ def numeric(df: DataFrame, column: str):
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double") * 1000
+        return micros(c, kind).cast("double") * 1000
     if isinstance(kind, T.NumericType):
         return c.cast("double")
     raise TypeError(f"column {column}: {kind.simpleString()} has no order of numbers")

@@ -31,6 +31,19 @@ def test_canonical_bytes_of_each_type(spark):
         hashing.canonical(spark.range(1).select(F.array(F.lit(1)).alias("a")), "a")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_timestamps_in_any_zone(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2020-07-01 12:00:00' AS n, TIMESTAMP '2020-07-01 12:00:00 UTC' AS t")
+        row = df.select(*[hashing.xxh64(hashing.canonical(df, c), 0).alias(c) for c in "nt"], *[histograms.numeric(df, c).alias(f"v{c}") for c in "nt"]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    nanos = int(datetime.datetime(2020, 7, 1, 12, tzinfo=datetime.UTC).timestamp()) * 10**9
+    assert {row[c] % 2**64 for c in "nt"} == {xxhash.xxh64_intdigest(struct.pack("<q", nanos))} and row["vn"] == row["vt"] == nanos
+
+
 def plain_registers(values, p):
     out = bytearray(1 << p)
     for v in values:
