@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import python_batches
 
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 1_000_000
 #: Texts of these characters alone are split by a regular expression, others by the tokenizer itself.
 _OTHER = re.compile("[^\t\n\r -~¡-ſ]")
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -92,15 +93,23 @@ def split(text: str, path: str) -> list[str]:
     return [text[s:e] for _, (s, e) in _load(path)[0].pre_tokenizer.pre_tokenize_str(text)]
 
 
-def _pack(parts: list[bytes]) -> bytes:
-    return zstandard.compress(np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts), 3)
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, bytes of equal weight together, which compress better."""
+    return zstandard.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and bytes."""
+    return _planes(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words), 3)
 
 
-def _unpack(blob: bytes) -> list[bytes]:
-    data = zstandard.decompress(blob)
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4).astype(np.int64)) + 4 * (n + 1)
-    return [data[s:e] for s, e in zip([4 * (n + 1), *ends.tolist()], ends.tolist(), strict=False)]
+def _unpack(lengths: bytes, words: bytes) -> list[bytes]:
+    data, ends = zstandard.decompress(words), np.cumsum(_from_planes(lengths).astype(np.int64)).tolist()
+    return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 class _Numbers(dict):
@@ -117,14 +126,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, buckets: int) -> Itera
 
     def chunk() -> tuple:
         words = [w.encode() for w in numbers]
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
+        bucket = [zlib.crc32(w) % buckets for w in words]
+        order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)  # neighbours alike compress better
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
         positions = place[np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)]
         by_bucket = {}
         for i in order.tolist():
-            by_bucket.setdefault(int(bucket[i]), []).append(words[i])
+            by_bucket.setdefault(bucket[i], []).append(words[i])
         check = zlib.crc32(b"\n".join(words))
         return f"{part}-{serial}-{check}", list(ids), list(lengths), positions, by_bucket
 
@@ -143,20 +152,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, buckets: int) -> Itera
         yield chunk()
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compress better."""
-    return zstandard.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
-
-
-def _from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-
-
 def _lists(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, _, _, by_bucket in _chunks(batches, path, buckets):
             keys = list(by_bucket)
-            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(keys), "bucket": pa.array(keys, pa.int32()), "words": pa.array([_pack(by_bucket[b]) for b in keys], pa.binary())})
+            packed = [_pack(by_bucket[b]) for b in keys]
+            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(keys), "bucket": pa.array(keys, pa.int32()), "lengths": pa.array([p[0] for p in packed], pa.binary()), "words": pa.array([p[1] for p in packed], pa.binary())})
 
     return run
 
@@ -172,13 +173,18 @@ def _positions(path: str, buckets: int):
 def _answers(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, whole, special = _load(path)
-        known = {k.encode(): np.array([v], "<u4").tobytes() for k, v in special.items()}
+        known = {k.encode(): [v] for k, v in special.items()}
         for batch in batches:
-            lists = [_unpack(w) for w in batch["words"].to_pylist()]
-            new = list({w for words in lists for w in words if w not in known})
-            for word, e in zip(new, whole.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-            yield pa.RecordBatch.from_pydict({"chunk": batch["chunk"], "bucket": batch["bucket"], "ids": pa.array([_pack([known[w] for w in words]) for words in lists], pa.binary())})
+            sizes, ids = [], []
+            for lengths, blob in zip(batch["lengths"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                words = _unpack(lengths, blob)
+                new = [w for w in words if w not in known]
+                for word, e in zip(new, whole.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    known[word] = e.ids
+                found = [known[w] for w in words]
+                sizes.append(_planes(np.fromiter(map(len, found), np.uint32, len(found))))
+                ids.append(_planes(np.fromiter(chain.from_iterable(found), np.uint32)))
+            yield pa.RecordBatch.from_pydict({"chunk": batch["chunk"], "bucket": batch["bucket"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     return run
 
@@ -193,11 +199,11 @@ def _placed(at: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Ids of a chunk's documents."""
     out = []
     for chunk in at.itertuples():
-        words = [w for blob in answers.sort_values("bucket").ids for w in _unpack(blob)]
-        size = np.fromiter((len(w) // 4 for w in words), np.int64, len(words))
-        values, start = np.frombuffer(b"".join(words), "<u4"), np.cumsum(size) - size
+        answers = answers.sort_values("bucket")
+        size = np.concatenate([np.zeros(0, np.int64), *map(_from_planes, answers.sizes)]).astype(np.int64)
+        values, start = np.concatenate([np.zeros(0, np.uint32), *map(_from_planes, answers.ids)]).astype("<u4"), np.cumsum(size) - size
         positions = _from_planes(chunk.positions).astype(np.int64)
-        if len(positions) and positions.max() >= len(words):
+        if len(positions) and positions.max() >= len(size):
             raise ValueError(f"chunk {chunk.chunk}: the documents were not the same when read again")
         ends = np.cumsum(np.asarray(chunk.lengths, np.int64))
         for doc_id, s, e in zip(chunk.doc_ids, [0, *ends.tolist()], ends.tolist(), strict=False):
@@ -216,8 +222,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     python_batches(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lists = rows.mapInArrow(_lists(path, buckets), "chunk string, bucket int, words binary")
-    answers = lists.repartition("bucket").mapInArrow(_answers(path), "chunk string, bucket int, ids binary")
+    lists = rows.mapInArrow(_lists(path, buckets), "chunk string, bucket int, lengths binary, words binary")
+    answers = lists.repartition("bucket").mapInArrow(_answers(path), "chunk string, bucket int, sizes binary, ids binary")
     at = rows.mapInArrow(_positions(path, buckets), "chunk string, doc_ids array<long>, lengths array<int>, positions binary")
     return at.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_placed, "doc_id long, n_tokens long, ids binary")
 
