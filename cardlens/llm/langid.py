@@ -151,9 +151,10 @@ def training_windows(docs: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> l
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_class / n))])[F.col("lang")]
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < share * 2**20)
-    start = F.pmod(F.xxhash64("doc_id", "i"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
-    pieces = drawn.select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS))).alias("i"))
+    drawn = known.withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(2**20)) < share * 2**20)
+    drawn = drawn.dropDuplicates(["doc_id", "lang", "h"])  # a row that is there many times is drawn as often
+    start = F.pmod(F.xxhash64("h", "i"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
+    pieces = drawn.select("doc_id", "h", "lang", "text", F.explode(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS))).alias("i"))
     found = pieces.select("doc_id", "i", "lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece")).collect()
     return [(r["lang"], r["piece"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] or 0, r["i"], r["piece"]))]
 

@@ -59,7 +59,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
     share = F.when(F.col("toxic") == 1, drawn_share[1]).otherwise(drawn_share[0])
     drawn = F.broadcast(known.filter(F.pmod(F.xxhash64("id"), F.lit(2**20)) < share * 2**20))  # about `rows` rows
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1) + 1
-    found = docs.join(drawn, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")).collect()
+    found = docs.join(drawn, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("text"))
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text for each label, however often its doc_id is there
     return [(r["toxic"], r["text"] or "") for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))], float(np.log(drawn_share[1] / drawn_share[0]))
 
 
