@@ -233,6 +233,16 @@ def _(spark, d):
     return _graph_ceiling(spark, d, [("lineitem", []), ("part", []), ("supplier", [])], [(0, 1, "l_partkey", "p_partkey"), (0, 2, "l_suppkey", "s_suppkey")], truth)
 
 
+@query("join_ceiling_cycle", """SELECT count(*) AS truth, true AS sound, true AS tight FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey""")
+def _(spark, d):
+    """Four relations in a ring: the ceiling is not below the truth and not above the product."""
+    c, o, l, s = (_t(spark, d, n) for n in ("customer", "orders", "lineitem", "supplier"))
+    truth = c.join(o, c.c_custkey == o.o_custkey).join(l, l.l_orderkey == o.o_orderkey).join(s, (s.s_suppkey == l.l_suppkey) & (s.s_nationkey == c.c_nationkey)).agg(F.count("*").alias("truth"))
+    edges = [(0, 1, "c_custkey", "o_custkey"), (1, 2, "o_orderkey", "l_orderkey"), (2, 3, "l_suppkey", "s_suppkey"), (3, 0, "s_nationkey", "c_nationkey")]
+    out = _graph_ceiling(spark, d, [("customer", []), ("orders", []), ("lineitem", []), ("supplier", [])], edges, truth)
+    return out.select("truth", "sound", (F.col("ceiling") <= F.col("product")).alias("tight"))
+
+
 @query("selectivity_estimate", "SELECT round((SELECT count(*) FROM orders)::DOUBLE * (SELECT count(*) FROM customer) * (1.0 / (SELECT count(DISTINCT c_custkey) FROM customer)), 3) AS estimate")
 def _(spark, d):
     from cardlens.operators.bounds import selectivity_estimate
