@@ -204,7 +204,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, one row for each component, with the columns of docs."""
     ids = docs.select(row_id().alias("doc_id"), "text")
     kept = written(components(ids).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "simhash-kept")
-    keys = kept.select(F.col("doc_id").alias("_kept_id"))
+    keys = kept.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash")  # the same plan at every size: the ids grow with the documents
     found = docs.withColumn("_row_id", row_id()).join(keys, F.col("_row_id") == F.col("_kept_id"), "left_semi")
     if kept.filter("copies > 1").limit(1).count():
         rank = Window.partitionBy("_row_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
