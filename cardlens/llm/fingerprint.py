@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small, written  # noqa: F401
+from .common import small, written
 
 CHUNK = 2**22
 #: Rows of a range of documents when each is to find the next one.
