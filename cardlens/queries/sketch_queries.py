@@ -32,10 +32,8 @@ hashed AS (SELECT v, seed, xor(a, a // {2**32}::UHUGEINT) AS h FROM h4)"""
 
 def _registers_sql(values: str, p: int) -> str:
     rest = f"((h * {2**p}::UHUGEINT) % {_W}::UHUGEINT)"
-    rho = f"CASE WHEN {rest} = 0 THEN {65 - p} ELSE 64 - floor(log2({rest}::DOUBLE))::INT END"
-    exact = f"CASE WHEN {rest} = 0 THEN {65 - p} ELSE 65 - length(ltrim(bin({rest}::UBIGINT), '0')) END"
-    del rho
-    return f"WITH {hash_ctes(values, [0])}, regs AS (SELECT (h // {2 ** (64 - p)}::UHUGEINT)::INT AS idx, max(({exact})::INT) AS rho FROM hashed GROUP BY 1)"
+    rho = f"CASE WHEN {rest} = 0 THEN {65 - p} ELSE 65 - length(ltrim(bin({rest}::UBIGINT), '0')) END"
+    return f"WITH {hash_ctes(values, [0])}, regs AS (SELECT (h // {2 ** (64 - p)}::UHUGEINT)::INT AS idx, max(({rho})::INT) AS rho FROM hashed GROUP BY 1)"
 
 
 def _estimate_sql(p: int) -> str:
