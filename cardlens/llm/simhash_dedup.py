@@ -188,28 +188,36 @@ def links(fps: DataFrame, blocks: int | None = None) -> DataFrame:
     return within.unionByName(loaded.mapInPandas(_compare, "u long, v long"))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs, which has doc_id and text."""
+def _rooted(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp, component_id, root (one fingerprint for each component) and columns more for each row of docs."""
     python_batches(docs.sparkSession)
-    prints = written(docs.select("doc_id", F.pandas_udf(_fingerprint, "long")("text").alias("fp")), "simhash")
+    prints = written(docs.select("doc_id", *more, F.pandas_udf(_fingerprint, "long")("text").alias("fp")), "simhash")
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-different")
     roots = written(connected_components(links(firsts.select("fp"))), "simhash-roots")
     member = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(member.select("fp", "root").join(ids, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = written(member.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "root", *more)
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for each row of docs, which has doc_id and text."""
+    return _rooted(docs).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row for each component, with the columns of docs."""
-    ids = docs.select(row_id().alias("doc_id"), "text")
-    kept = written(components(ids).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "simhash-kept")
-    keys = kept.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash")  # the same plan at every size: the ids grow with the documents
-    found = docs.withColumn("_row_id", row_id()).join(keys, F.col("_row_id") == F.col("_kept_id"), "left_semi")
+    """One row of docs for each component, with the columns of docs: that of the smallest doc_id, of its texts there the longest."""
+    ids = docs.select(row_id().alias("doc_id"), "text", F.xxhash64("text").alias("tx"), F.coalesce(-F.length("text"), F.lit(1)).alias("shortness"))
+    firsts = _rooted(ids, "tx", "shortness").filter("doc_id = component_id").groupBy("root")
+    kept = firsts.agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("shortness", "tx")).alias("best"), F.count("*").alias("copies"))
+    kept = written(kept.select("doc_id", F.col("best.tx").alias("tx"), "copies"), "simhash-kept")
+    keys = kept.select(F.col("doc_id").alias("_kept_id"), F.col("tx").alias("_kept_tx")).hint("shuffle_hash")  # the same plan at every size: the ids grow with the documents
+    found = docs.withColumns({"_row_id": row_id(), "_row_tx": F.xxhash64("text")})
+    found = found.join(keys, (F.col("_row_id") == F.col("_kept_id")) & (F.col("_row_tx") == F.col("_kept_tx")), "left_semi")
     if kept.filter("copies > 1").limit(1).count():
-        rank = Window.partitionBy("_row_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+        rank = Window.partitionBy("_row_id", "_row_tx").orderBy("_row_tx")
         found = found.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
-    return found.drop("_row_id")
+    return found.drop("_row_id", "_row_tx")
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -134,3 +134,10 @@ def test_components_of_long_chains(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).unionByName(spark.createDataFrame([(1000, 1001), (1001, 1001)], "u long, v long"))
     roots = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert roots == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_a_repeated_doc_id_keeps_the_text_of_each_component(spark):
+    text = lambda c: " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, text("k")), (1, text("l") + " and more"), (5, text("m")), (6, text("m")), (6, text("n")), (7, text("o")), (7, text("o"))]
+    kept = simhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5]], key=repr)
