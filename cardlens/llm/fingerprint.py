@@ -6,7 +6,7 @@ are counted two bits to a long; a text of more than CHUNK words is counted in ch
 
 Defined cases: a null text is the empty text, whose fingerprint is zero, as is that of any text without words; a null
 doc_id is ordered last; rows equal in doc_id and text give equal rows, and the next document is the next different one;
-a table of one document is its own next; an empty table gives an empty table; other columns are ignored.
+a table of one document is its own next; copies of a document's fingerprint are not its neighbours; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import small, written
 CHUNK = 2**22
 #: Rows of a range of documents when each is to find the next one.
 RANGE_ROWS = 20_000
+#: Differing bits up to which fingerprints are neighbours, and blocks of their search.
+RADIUS, BLOCKS = 3, 6
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -62,6 +64,13 @@ def _block(fp: Column, start: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _first_table(x: Column, radius: int, blocks: int) -> Column:
+    """The first table in which two fingerprints meet whose differing bits are x."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in kept) for kept in combinations(range(blocks), blocks - radius)]
+    return F.coalesce(*[F.when(x.bitwiseAND(F.lit(m if m < 2**63 else m - 2**64)) == 0, F.lit(t)) for t, m in enumerate(masks)])
+
+
 def block_tables(fp: str, radius: int, blocks: int) -> Column:
     """One struct (t, key) for each way to choose the blocks - radius blocks in which a pair within radius must agree.
 
@@ -79,14 +88,22 @@ def block_tables(fp: str, radius: int, blocks: int) -> Column:
     return F.explode(F.array(*tables))
 
 
-def within(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def within(queries: DataFrame, stored: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(query_fp, fp, distance): all different fingerprints fp of stored within radius of each different one of queries.
 
     Copies meet once: both sides are reduced to different fingerprints first, and a pair is kept in its first table only.
     """
     side = lambda df, name: df.select(F.col("fp").alias(name)).distinct().select(name, block_tables(name, radius, blocks).alias("e")).select(name, "e.t", "e.key")
     pairs = side(queries, "query_fp").join(side(stored, "fp"), ["t", "key"])
-    return pairs.withColumn("distance", distance(F.col("query_fp"), F.col("fp"))).filter(F.col("distance") <= radius).select("query_fp", "fp", "distance").distinct()
+    near = pairs.withColumn("distance", distance(F.col("query_fp"), F.col("fp"))).filter(F.col("distance") <= radius)
+    return near.filter(F.col("t") == _first_table(F.col("query_fp").bitwiseXOR(F.col("fp")), radius, blocks)).select("query_fp", "fp", "distance")
+
+
+def neighbours(prints: DataFrame) -> DataFrame:
+    """near_fp, near_fingerprints: for each different fp that has any, the number of other different ones within RADIUS."""
+    fps = written(prints.select("fp").distinct(), "different-fingerprints")
+    pairs = within(fps, fps).filter("query_fp <> fp")
+    return written(pairs.groupBy(F.col("query_fp").alias("near_fp")).agg(F.count("*").alias("near_fingerprints")), "neighbours")
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -105,7 +122,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints for each row of docs.
 
     Whole texts are shuffled once, by document; the passage that a document takes from the next one goes to it by a join.
     """
@@ -129,11 +146,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     prints = written(prints, "fingerprints")
     following = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("fp").alias("nfp"))
     rows = chain.join(prints, ["k", "h"]).join(following, ["nk", "nh"])
+    rows = rows.join(small(neighbours(prints)), F.col("fp") == F.col("near_fp"), "left")
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.concat(*[hex16(F.col(s)) for s in shas]).alias("edited_sha256"),
         hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        F.coalesce("near_fingerprints", F.lit(0)).cast("long").alias("near_fingerprints"),
     )
 
 

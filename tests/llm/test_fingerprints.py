@@ -141,3 +141,14 @@ def test_a_repeated_doc_id_keeps_the_text_of_each_component(spark):
     rows = [(1, text("k")), (1, text("l") + " and more"), (5, text("m")), (6, text("m")), (6, text("n")), (7, text("o")), (7, text("o"))]
     kept = simhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert rows_of(kept) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5]], key=repr)
+
+
+def test_op4_counts_the_neighbours_of_each_fingerprint(spark, tmp_path):
+    text = " ".join(f"word{i}{'abcdefgh'[i % 8]}" for i in range(400))
+    rows = [(n, f"{text} {' '.join(f'other{j}' for j in range(4 * n))}") for n in range(10)] + [(10, text), (11, "nothing like the others at all"), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprint.op4_fingerprints(spark, save(docs, tmp_path)).collect()
+    fps = {int(r["fingerprint"], 16) for r in out}
+    near = {f: sum(0 < (f ^ g).bit_count() <= 3 for g in fps) for f in fps}
+    assert len(out) == 13 and any(near.values())
+    assert all(r["near_fingerprints"] == near[int(r["fingerprint"], 16)] for r in out)
