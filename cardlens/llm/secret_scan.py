@@ -27,13 +27,23 @@ from .common import fresh_path
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of head followed by value, if value (or else the whole match) has at least so many characters."""
+    """Matches of head followed by value, if value (or else the whole match) has at least so many characters.
+
+    apart is a class of characters of which none may stand before a match. A rule is to take time in proportion to any
+    text: repeats of single characters only, as Java recurses once for each turn of a repeated group, and no second
+    start within what a first start has passed over in vain.
+    """
 
     kind: str
     head: str
     value: str
     least_value: int = 0
     least: int = 0
+    apart: str = ""
+
+    @property
+    def pattern(self) -> str:
+        return (f"(?<![{self.apart}])" if self.apart else "") + f"({self.head})({self.value})"
 
 
 BASE = (
@@ -42,8 +52,8 @@ BASE = (
     Rule("hex", "", "[0-9a-f]{32,}"),  # the same as all runs of hexadecimal digits, the short ones dropped
 )
 MORE = (
-    Rule("pem", "-----BEGIN ", r"(?:[A-Z0-9]+ )*PRIVATE KEY-----"),
-    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("pem", "-----BEGIN ", r"(?:[A-Z0-9 ]* )?PRIVATE KEY-----"),
+    Rule("jwt", "eyJ", r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", apart="A-Za-z0-9_-"),
 )
 RULES = BASE + MORE
 _OPEN, _MIDDLE, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -56,7 +66,7 @@ def rules_version(rules: tuple[Rule, ...]) -> str:
 def find_spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "blob") -> DataFrame:
     """key, kind, rule, start, end of all matches in texts (key, text), key being unique; places in code points."""
     free = F.when(F.col("text").rlike(f"[{_OPEN}-{_CLOSE}]"), F.translate("text", _OPEN + _MIDDLE + _CLOSE, _OTHER * 3)).otherwise(F.col("text"))
-    marked = [F.struct(F.lit(i).alias("rule"), F.regexp_replace("text", f"({r.head})({r.value})", f"{_OPEN}$1{_MIDDLE}$2{_CLOSE}").alias("marked")) for i, r in enumerate(rules)]
+    marked = [F.struct(F.lit(i).alias("rule"), F.regexp_replace("text", r.pattern, f"{_OPEN}$1{_MIDDLE}$2{_CLOSE}").alias("marked")) for i, r in enumerate(rules)]
     hits = texts.select(key, free.alias("text")).select(key, F.explode(F.array(*marked)).alias("m")).filter(F.contains("m.marked", F.lit(_OPEN)))
     pieces = hits.select(key, "m.rule", F.posexplode(F.split("m.marked", _OPEN)).alias("pos", "piece"))
     middle, close = F.instr("piece", _MIDDLE), F.instr("piece", _CLOSE)
@@ -144,8 +154,9 @@ def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_marked(i: int, r: Rule) -> str:
-    pattern = f"({r.head})({r.value})".replace("'", "''")
-    return f"SELECT id, {i} AS rule, '{r.kind}' AS kind, {r.least_value} AS lv, {r.least} AS lm, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\1' || chr(57345) || '\\2' || chr(57346), 'g'), chr(57344)) AS parts FROM d"
+    before = f"(^|[^{r.apart}])" if r.apart else "()"  # DuckDB's patterns can't look back; the character before is never part of the match before it
+    pattern = f"{before}({r.head})({r.value})".replace("'", "''")
+    return f"SELECT id, {i} AS rule, '{r.kind}' AS kind, {r.least_value} AS lv, {r.least} AS lm, string_split(regexp_replace(t, '{pattern}', '\\1' || chr(57344) || '\\2' || chr(57345) || '\\3' || chr(57346), 'g'), chr(57344)) AS parts FROM d"
 
 
 OP5_SQL = f"""

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,6 +58,35 @@ def test_more_kinds_are_added(spark):
     assert {r["kind"]: (r["start"], r["end"]) for r in secret_scan.find_spans(df).collect()} == {"pem": (0, 31), "jwt": (33, len(text))}
 
 
+MEGABYTE = {
+    "assign": ["token" * 200_000, "password" + " " * 10**6, "api_key='" * 120_000, "secret = " * 120_000],
+    "access": ["AKIA" * 250_000, "AKIA " * 200_000],
+    "hex": ["0123456789abcdef0123456789abcde " * 32_000, "f" * 10**6],
+    "pem": ["-----BEGIN " + "A " * 500_000, "-----BEGIN " * 90_000, "-----BEGIN " + "PRIVATE KEY " * 80_000, "-----BEGIN" + " " * 10**6],
+    "jwt": ["eyJabc" * 170_000, "eyJabcdefghijk." * 66_000, "eyJabc-" * 140_000, ("eyJ" + "a" * 99 + " ") * 9_700, "eyJ" * 330_000 + "."],
+}
+
+
+def test_near_matches_of_a_megabyte(spark):
+    """No text breaks a rule or takes more than time in proportion to it."""
+    texts = [t for group in MEGABYTE.values() for t in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    out = {r["doc_id"]: r for r in secret_scan.scan_documents(docs, secret_scan.Ledger(spark, fresh_path(spark, "ledger"))).collect()}
+    assert time.monotonic() - began < 60
+    for i, t in enumerate(texts):
+        joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in plain_spans(t))
+        assert out[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), t[:40]
+        assert "pem" not in out[i]["spans"]
+
+
+def test_a_token_begins_where_no_token_character_stands_before(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcdefghijklmnop"
+    df = spark.createDataFrame([("x", f"{jwt} {jwt}"), ("y", f"x{jwt}"), ("z", f"({jwt}.{jwt})")], "blob string, text string")
+    n = len(jwt)
+    assert sorted((r["blob"], r["start"], r["end"]) for r in secret_scan.find_spans(df).collect() if r["kind"] == "jwt") == [("x", 0, n), ("x", n + 1, 2 * n + 1), ("z", 1, n + 1), ("z", n + 2, 2 * n + 2)]
+
+
 def test_defined_cases(spark):
     docs = odd_documents(spark)
     scan = lambda d: secret_scan.scan_documents(d, secret_scan.Ledger(spark, fresh_path(spark, "ledger")))
