@@ -9,6 +9,9 @@ Files go through pyarrow's file systems, so a folder may be on any store that th
 attempt; only names that Spark has committed are read further on, so lost executors and repeated tasks do no harm.
 Streams are read and written in pieces: memory is bounded by a single record.
 
+Archives of others are normalised too: header lines may lack the blank after the colon, have names in any case or be
+continued, and a member may hold several records or one. What is cut off or damaged is refused, never taken as whole.
+
 Defined cases: null html is an empty payload; a null url leaves the record without a target; a null page_id is never
 referred to unless all records of a payload have none (then all are responses); repeated rows of the smallest page_id are
 responses, each; an empty table gives an empty table; other columns are ignored.
@@ -69,11 +72,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return _headers("WARC/1.1", fields) + block + b"\r\n\r\n"
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Of a header: names in lower case, values without outer blanks; a line that begins with a blank continues the one before."""
+    out, last = {}, None
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in " \t" and last:
+            out[last] += " " + line.strip()
+        elif line:
+            name, colon, value = line.partition(":")
+            if not colon:
+                raise ValueError(f"not a header line: {line[:80]!r}")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields, by lower-case name, and block of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
+    fields = _fields(head)
     return fields, rest[: int(fields["content-length"])]
 
 
@@ -93,8 +110,12 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
                 if held:
                     raise ValueError("the archive ends within a record's header")
                 return
-        size = next(int(line.split(b":", 1)[1]) for line in bytes(held[:end]).split(b"\r\n") if line.lower().startswith(b"content-length:"))
-        total = end + 4 + size + 4
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"not a record: {bytes(held[:20])!r}")
+        size = _fields(bytes(held[:end])).get("content-length", "")
+        if not size.isdigit():
+            raise ValueError("a record without its length")
+        total = end + 4 + int(size) + 4
         while len(held) < total:
             if not more():
                 raise ValueError("the archive ends within a record")
@@ -103,15 +124,22 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(file) -> Iterator[bytes]:
-    """Pieces of a gzip file's content, be it one member or many."""
-    inflate = zlib.decompressobj(31)
+    """Pieces of a gzip file's content, be it one member or many; a file that ends within a member is refused, as is anything else behind a member."""
+    inflate = None
     while piece := file.read(PIECE):
-        while piece:
-            if out := inflate.decompress(piece, PIECE):
+        while piece or (inflate and inflate.unconsumed_tail):
+            inflate = inflate or zlib.decompressobj(31)
+            try:
+                out = inflate.decompress(piece, PIECE)
+            except zlib.error as e:
+                raise ValueError(f"not a whole gzip stream: {e}") from e
+            if out:
                 yield out
             piece = inflate.unconsumed_tail
             if inflate.eof:
-                piece, inflate = inflate.unused_data, zlib.decompressobj(31)
+                piece, inflate = inflate.unused_data.lstrip(b"\0"), None  # some writers fill up with zeros
+    if inflate:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def _member(data: bytes) -> bytes:
@@ -125,7 +153,7 @@ def normalise(source, archive, index) -> int:
     for data in records(inflated(source)):
         member, fields = _member(data), parse(data)[0]
         archive.write(member)
-        entry = {"offset": offset, "length": len(member), "type": fields["warc-type"], "id": fields["warc-record-id"]}
+        entry = {"offset": offset, "length": len(member), "type": fields.get("warc-type"), "id": fields.get("warc-record-id")}
         index.write(json.dumps(entry).encode() + b"\n")
         offset, n = offset + len(member), n + 1
     return n

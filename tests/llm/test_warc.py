@@ -72,3 +72,33 @@ def test_cut_archives_are_refused():
     for cut in (30, len(data) - 20):
         with pytest.raises(ValueError):
             list(warc.records(iter([data[:cut]])))
+
+
+def normalised(source):
+    archive, index = io.BytesIO(), io.BytesIO()
+    warc.normalise(io.BytesIO(source), archive, index)
+    return [warc.read_record(archive, e["offset"], e["length"]) for e in map(json.loads, index.getvalue().splitlines())]
+
+
+def test_foreign_headers():
+    block = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    data = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID:<urn:x:1>\r\nWARC-Target-URI: http://x/\r\n  y\r\nCONTENT-LENGTH :%d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    ((fields, found),) = normalised(warc._member(data) + b"\0" * 8)
+    assert found == block and fields["warc-type"] == "response" and fields["warc-target-uri"] == "http://x/ y"
+    for wrong in (data.replace(b"WARC/1.0", b"HTTP/1.0"), data.replace(b"CONTENT-LENGTH", b"LENGTH"), data.replace(b":response", b"")):
+        with pytest.raises(ValueError):
+            normalised(warc._member(wrong))
+
+
+def test_cut_and_damaged_streams_are_refused():
+    records = [warc.record(i, "http://x/", b"abc%d" % i * 100, None) for i in range(3)]
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    flushed = b"".join(deflate.compress(r) + deflate.flush(zlib.Z_FULL_FLUSH) for r in records)  # ends where a record does, its member doesn't
+    whole = warc._member(b"".join(records))
+    assert len(normalised(whole)) == len(normalised(whole + whole)) // 2 == 3
+    damaged = bytearray(whole)
+    damaged[-6] ^= 1  # in the checksum
+    for source in (flushed, *[whole[:-n] for n in (1, 4, 8, 9, 20)], whole + whole[:15], whole + b"more", bytes(damaged)):
+        with pytest.raises(ValueError):
+            normalised(source)
+    assert normalised(b"") == []
