@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where that is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cardlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,8 +45,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing reads any more."""
+def discard(spark: SparkSession, *tables: str | DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: paths, or what written() gave."""
+    for table in tables:
+        for path in [table] if isinstance(table, str) else {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -54,6 +62,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_prefix(df: DataFrame) -> str:
+    """What none of df's column names begins with, for columns that an operator adds for a while."""
+    prefix = "_op_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def python_batches(spark: SparkSession) -> None:
     """Bounds the rows of a batch for Python workers, as single texts may be very long, and gives them this package if their path lacks it."""
     package = Path(__file__).resolve().parents[1]
@@ -82,12 +98,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = written(star.select("e.u", "e.v").filter("u <> v").distinct(), "small")
+        discard(edges.sparkSession, last, large)
         now = _mark(edges)
         if now == before:
             break

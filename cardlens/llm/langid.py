@@ -4,8 +4,8 @@ A text is lower-cased and its UTF-8 bytes are cut into windows of WINDOW bytes,
 is embedded; filters of several widths slide over the window, their greatest responses go through a softmax. A text's
 language is the one of the greatest probability, averaged over all its windows by their bytes.
 
-Training sees text and language of at most ROWS_PER_CLASS (expected) rows of each language, TRAIN_WINDOWS windows of each:
-a sample bounded whatever the size of the table. It is drawn by a hash, and training is seeded: reruns agree.
+Training sees WINDOWS_PER_CLASS (expected) windows of each language, drawn alike from all windows of all whole texts that
+may teach: a sample bounded whatever the size of the table. It is drawn by a hash, and training is seeded: reruns agree.
 
 Defined cases: null text, or text without a letter, is und with score 0; without labelled rows every text is und; rows of
 a null doc_id are not held out; a null language teaches nothing; an empty table gives an empty table; other columns are
@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches
+from .common import free_prefix, python_batches
 
 WINDOW = 192
-ROWS_PER_CLASS = 500
-TRAIN_WINDOWS = 4
+#: Labelled windows that training sees, for each language.
+WINDOWS_PER_CLASS = 2_000
 #: Widths of 4 at most, as responses are looked up by two pairs of bytes.
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 6
 UNKNOWN = "und"
@@ -144,19 +144,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_windows(docs: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> list:
-    """(lang, piece of text) of a bounded sample of the rows that are not held out."""
+def training_windows(docs: DataFrame, windows_per_class: int = WINDOWS_PER_CLASS) -> list:
+    """(lang, piece of text) of a bounded sample of the windows of all rows that are not held out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_class / n))])[F.col("lang")]
-    drawn = known.withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(2**20)) < share * 2**20)
-    drawn = drawn.dropDuplicates(["doc_id", "lang", "h"])  # a row that is there many times is drawn as often
-    start = F.pmod(F.xxhash64("h", "i"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
-    pieces = drawn.select("doc_id", "h", "lang", "text", F.explode(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS))).alias("i"))
-    found = pieces.select("doc_id", "i", "lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece")).collect()
-    return [(r["lang"], r["piece"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] or 0, r["i"], r["piece"]))]
+    n = F.greatest(F.ceil(F.length("text") / WINDOW), F.lit(1)).cast("long")
+    counts = known.groupBy("lang").agg(F.sum(n).alias("n")).select(F.col("lang").alias("of"), F.least(F.lit(1.0), windows_per_class / F.col("n")).alias("share"))
+    drawn = known.join(F.broadcast(counts), F.col("lang") == F.col("of")).select("doc_id", "lang", "text", "share", F.xxhash64("doc_id", "text").alias("h"), n.alias("n"))  # a row for each class of the softmax
+    places = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.pmod(F.xxhash64(F.col("h"), i), F.lit(2**30)) < F.col("share") * 2**30)
+    pieces = drawn.select("doc_id", "h", "lang", "text", F.explode(places).alias("i")).select("doc_id", "h", "lang", "i", F.substring("text", (F.col("i") * WINDOW + 1).cast("int"), F.lit(WINDOW)).alias("piece"))
+    found = pieces.dropDuplicates(["doc_id", "h", "lang", "i"]).collect()  # a row that is there many times is drawn as often
+    return [(r["lang"], r["piece"]) for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["i"], r["doc_id"] or 0, r["piece"]))]
 
 
 def train(pieces: list, seed: int = 3) -> ByteNetwork | None:
@@ -199,10 +196,10 @@ def _predictor(model: ByteNetwork | None):
     return F.pandas_udf(predict, "lang_pred string, score double")
 
 
-def fitted(docs: DataFrame, rows_per_class: int = ROWS_PER_CLASS):
+def fitted(docs: DataFrame, windows_per_class: int = WINDOWS_PER_CLASS):
     """A function of the column text that gives the struct lang_pred, score."""
     python_batches(docs.sparkSession)
-    return _predictor(train(training_windows(docs.select("doc_id", "text", "lang"), rows_per_class)))
+    return _predictor(train(training_windows(docs.select("doc_id", "text", "lang"), windows_per_class)))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
@@ -213,8 +210,9 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 def known_languages(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is recognised, with the columns of docs."""
-    found = docs.withColumn("_language", fitted(docs)(F.col("text")))
-    return found.filter((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")
+    name = free_prefix(docs) + "language"
+    found = docs.withColumn(name, fitted(docs)(F.col("text")))
+    return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, written
+from .common import WORD, free_prefix, small, written
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -110,14 +110,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """
     rows = written(keyed(docs), "mix-rows")
     plan = budgets(rows, targets(rows, weights, share, most)).select("source", "epochs", "end_key", "end_left", "end_size")
-    plan = small(plan).select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
-    each = docs.withColumns({"_mix_key": exponential_key("doc_id", quality()), "_mix_size": words()})
-    joined = each.join(plan, F.col("_mix_source").eqNullSafe(each["source"]))
-    tied = F.floor(F.col("_mix_end_left") * F.col("_mix_size") / F.greatest(F.col("_mix_end_size"), F.lit(1))) > 0
-    more = F.when((F.col("_mix_key") < F.col("_mix_end_key")) | (F.col("_mix_key") == F.col("_mix_end_key")) & tied, 1).otherwise(0)
-    copies = F.when(F.col("_mix_size") > 0, F.col("_mix_epochs") + more).otherwise(0)
+    own = free_prefix(docs)
+    mine = lambda name: F.col(own + name)
+    plan = small(plan).select(*[F.col(c).alias(own + c) for c in plan.columns])
+    each = docs.withColumns({own + "key": exponential_key("doc_id", quality()), own + "size": words()})
+    joined = each.join(plan, mine("source").eqNullSafe(each["source"]))
+    tied = F.floor(mine("end_left") * mine("size") / F.greatest(mine("end_size"), F.lit(1))) > 0
+    more = F.when((mine("key") < mine("end_key")) | (mine("key") == mine("end_key")) & tied, 1).otherwise(0)
+    copies = F.when(mine("size") > 0, mine("epochs") + more).otherwise(0)
     repeats = F.explode(F.sequence(F.lit(1), copies.cast("int")))
-    return joined.filter(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns], repeats.alias("_mix_copy")).drop("_mix_copy")
+    return joined.filter(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns], repeats.alias(own + "copy")).drop(own + "copy")
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

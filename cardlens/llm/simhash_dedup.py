@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, python_batches, row_id, written
+from .common import connected_components, free_prefix, python_batches, row_id, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -211,13 +211,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     firsts = _rooted(ids, "tx", "shortness").filter("doc_id = component_id").groupBy("root")
     kept = firsts.agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("shortness", "tx")).alias("best"), F.count("*").alias("copies"))
     kept = written(kept.select("doc_id", F.col("best.tx").alias("tx"), "copies"), "simhash-kept")
-    keys = kept.select(F.col("doc_id").alias("_kept_id"), F.col("tx").alias("_kept_tx")).hint("shuffle_hash")  # the same plan at every size: the ids grow with the documents
-    found = docs.withColumns({"_row_id": row_id(), "_row_tx": F.xxhash64("text")})
-    found = found.join(keys, (F.col("_row_id") == F.col("_kept_id")) & (F.col("_row_tx") == F.col("_kept_tx")), "left_semi")
+    own = free_prefix(docs)
+    mine = lambda name: F.col(own + name)
+    keys = kept.select(F.col("doc_id").alias(own + "kept_id"), F.col("tx").alias(own + "kept_tx")).hint("shuffle_hash")  # the same plan at every size: the ids grow with the documents
+    found = docs.withColumns({own + "id": row_id(), own + "tx": F.xxhash64("text")})
+    found = found.join(keys, (mine("id") == mine("kept_id")) & (mine("tx") == mine("kept_tx")), "left_semi")
     if kept.filter("copies > 1").limit(1).count():
-        rank = Window.partitionBy("_row_id", "_row_tx").orderBy("_row_tx")
-        found = found.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
-    return found.drop("_row_id", "_row_tx")
+        rank = Window.partitionBy(own + "id", own + "tx").orderBy(own + "tx")
+        found = found.withColumn(own + "rank", F.row_number().over(rank)).filter(mine("rank") == 1)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

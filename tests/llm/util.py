@@ -28,9 +28,8 @@ def odd_documents(spark):
 
 def with_clashes(df):
     """The same with columns whose names operators may use inside."""
-    for name in ("id", "size", "key", "fp", "h", "k", "u", "v", "n", "pos", "blob", "target", "score", "source_size", "component_id", "_n"):
-        df = df.withColumn(name, F.lit("clash"))
-    return df
+    names = ("id", "size", "key", "fp", "h", "k", "u", "v", "n", "pos", "blob", "target", "score", "source_size", "component_id", "_n", "_id", "_tx", "_drops", "_n_dropped", "_row_id", "_kept_id", "_rank", "_mix_key", "_mix_source", "_language", "_op_id", "_OP_source", "__op_key")
+    return df.select("*", *[F.lit("clash").alias(name) for name in names])
 
 
 def empty_documents(spark):
