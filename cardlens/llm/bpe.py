@@ -1,18 +1,22 @@
 """Byte-level BPE encoding and decoding by a distributed table of distinct words.
 
-Texts are split into words just as the tokenizer's own pre-tokenizer does, in chunks of CHUNK_WORDS or a little more. A
-chunk numbers its distinct words and sends each of them once, in compressed lists by hash bucket, to the bucket's task;
-that task encodes every distinct word of the corpus that falls into its buckets once and answers each list with the ids.
-The answers are joined back to the chunk, where ids are put in place by position. What is shuffled is one entry for each
-distinct word of a chunk and the positions as small numbers, never texts or word occurrences; a frequent word costs no
-more than any other. Decoding joins ids to the pieces of the vocabulary, whose size is bounded, and joins the bytes.
-
-Splitting is done in both branches of the join instead of being written down. Chunks carry a checksum of their words: if
-the input were not the same when read again, the join would fail instead of giving wrong ids.
+Spark splits texts into words just as the tokenizer's own pre-tokenizer does, by one regular expression. A task numbers
+the distinct words of its chunks of CHUNK_WORDS or a little more, the frequent ones first, and sends each of them once, in
+compressed lists by hash bucket, to the bucket's task; that task encodes every distinct word of the corpus that falls into
+a bucket once and answers each list with the ids. The answers are joined back to the chunk, where ids are put in place by
+position. What is shuffled is one entry for each distinct word of a chunk and the positions as small numbers, never texts
+or word occurrences; a frequent word costs no more than any other. Decoding is a join of ids with the vocabulary's table of
+ids and pieces, whose size is bounded, in lots of tokens, and joins the bytes.
+
+Lists and positions leave the splitting stage by one exchange, which both branches of the join read: texts are read and
+split once. Chunks carry a checksum of their words: if a lost task's rows came back in another order, the join would fail
+instead of giving wrong ids. Buckets grow with the input, so that a bucket's distinct words stay few.
 
 Defined cases: a null text is the empty text, which has no ids; a special token's string in a text is that token, as with
-the tokenizer's defaults; rows of equal doc_id and a null doc_id are rows like any other; an empty table gives an empty
-table; other columns are ignored. Memory is bounded by a chunk, or a single text where that is larger.
+the tokenizer's defaults; texts that hold one, or characters that Java does not know, are split by the tokenizer itself;
+rows of equal doc_id and a null doc_id are rows like any other; an empty table gives an empty table; other columns are
+ignored. Texts are split in pieces of PIECE characters or a little more, between two words; memory is bounded by a chunk,
+or the numbers of a single text where that is larger.
 """
 
 from __future__ import annotations
@@ -28,18 +32,23 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import python_batches
 
 CHUNK_WORDS = 1_000_000
-#: Texts of these characters alone are split by a regular expression, others by the tokenizer itself.
-_OTHER = re.compile("[^\t\n\r -~¡-ſ]")
-_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\t\n\r {_LETTERS}{_NUMBERS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+PIECE = 2**18
+#: Bytes of input for each bucket of distinct words, and most buckets: beyond them a chunk's lists would grow too short.
+BUCKET_BYTES, MOST_BUCKETS = 2**26, 4096
+#: White space, as the tokenizer's patterns have it; then the words. A character that Java does not know is in no word.
+_SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORDS = rf" ?[A-Za-z[\p{{L}}]]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9[\p{{N}}]]++| ?[^{_SPACE}\p{{L}}\p{{N}}\p{{Cn}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Where white space begins, one word ends and another begins.
+_CUT = f"(?=[{_SPACE}])(?<![{_SPACE}])"
 
 
 def default_vocabulary() -> str:
@@ -88,8 +97,6 @@ def split(text: str, path: str) -> list[str]:
     if pattern and pattern.search(text):
         special = _load(path)[2]
         return [w for part in pattern.split(text) if part for w in ([part] if part in special else split(part, path))]
-    if not _OTHER.search(text):
-        return _WORDS.findall(text)
     return [text[s:e] for _, (s, e) in _load(path)[0].pre_tokenizer.pre_tokenize_str(text)]
 
 
@@ -102,81 +109,107 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
-    """Lengths and bytes."""
-    return _planes(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words), 3)
-
-
 def _unpack(lengths: bytes, words: bytes) -> list[bytes]:
+    """The words of a list, from their lengths and their bytes."""
     data, ends = zstandard.decompress(words), np.cumsum(_from_planes(lengths).astype(np.int64)).tolist()
     return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], path: str, buckets: int) -> Iterator[tuple]:
-    """(chunk, doc_ids, words in each document, positions, distinct words by bucket); positions count in that order of words."""
-    part = TaskContext.get().partitionId()
-    serial, total = 0, 0
-    numbers, ids, lengths, held = _Numbers(), [], [], []
-
-    def chunk() -> tuple:
-        words = [w.encode() for w in numbers]
-        bucket = [zlib.crc32(w) % buckets for w in words]
-        order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)  # neighbours alike compress better
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        positions = place[np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)]
-        by_bucket = {}
-        for i in order.tolist():
-            by_bucket.setdefault(bucket[i], []).append(words[i])
-        check = zlib.crc32(b"\n".join(words))
-        return f"{part}-{serial}-{check}", list(ids), list(lengths), positions, by_bucket
-
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            words = split(text.as_py() or "", path)
-            ids.append(doc_id)
-            lengths.append(len(words))
-            held.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            total += len(words)
-            if total >= CHUNK_WORDS:
-                yield chunk()
-                serial, total = serial + 1, 0
-                numbers, ids, lengths, held = _Numbers(), [], [], []
-    if ids:
-        yield chunk()
-
-
-def _lists(path: str, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, _, _, by_bucket in _chunks(batches, path, buckets):
-            keys = list(by_bucket)
-            packed = [_pack(by_bucket[b]) for b in keys]
-            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(keys), "bucket": pa.array(keys, pa.int32()), "lengths": pa.array([p[0] for p in packed], pa.binary()), "words": pa.array([p[1] for p in packed], pa.binary())})
-
-    return run
-
-
-def _positions(path: str, buckets: int):
+def _words(text: Column) -> Column:
+    """The words of a text without special tokens and unknown characters."""
+    return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
+
+
+def _text_pieces(text: Column) -> Column:
+    """Structs of a piece and whether it is its text's first."""
+    long = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}(?:{_CUT}|\\z)|.+?{_CUT}|.+"), F.lit(0))
+    return F.transform(F.when(F.length(text) <= PIECE, F.array(text)).otherwise(long), lambda x, i: F.struct((i == 0).alias("first"), x.alias("text")))
+
+
+class _Chunk:
+    """Rows of a chunk so far."""
+
+    def __init__(self):
+        self.words, self.ids, self.counts, self.total = [], [], [], 0
+
+    def add(self, batch: pa.RecordBatch, path: str) -> None:
+        if not batch.num_rows:
+            return
+        words, text = batch["words"], batch["text"]
+        sizes, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
+        ends = np.cumsum(sizes)
+        bytes_before = np.r_[0, np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))]
+        whole = bytes_before[ends] - bytes_before[ends - sizes] == pc.binary_length(text).to_numpy(zero_copy_only=False)
+        for special in _load(path)[2]:
+            whole &= ~pc.match_substring(text, special).to_numpy(zero_copy_only=False)
+        at = 0
+        for i in np.flatnonzero(~whole).tolist():  # the tokenizer splits these
+            self.words.append(flat.slice(at, ends[i] - sizes[i] - at))
+            self.words.append(pa.array(own := split(text[i].as_py(), path), pa.string()))
+            at, sizes[i] = int(ends[i]), len(own)
+        self.words.append(flat.slice(at))
+        first = batch["first"].to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(first)
+        before = starts[0] if len(starts) else len(sizes)
+        if before:
+            self.counts[-1] += int(sizes[:before].sum())
+        self.counts.extend(np.add.reduceat(sizes, starts).tolist() if len(starts) else [])
+        self.ids.extend(batch["doc_id"].take(pa.array(starts)).to_pylist())
+        self.total += int(sizes.sum())
+
+    def rows(self, part: int, serial: int, buckets: int) -> pa.RecordBatch:
+        """A row for each bucket's list of distinct words, sorted, and one for the positions, which number words by frequency."""
+        coded = pa.chunked_array(self.words, pa.string()).combine_chunks().dictionary_encode()
+        words, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words.to_pylist()), np.int32, len(words))
+        order = pc.sort_indices(pa.table({"b": bucket, "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")])
+        listed, bucket = words.take(order), bucket[order.to_numpy()]
+        by_count = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        number, place = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+        number[by_count], place[order.to_numpy()] = np.arange(len(words)), np.arange(len(words))
+        sizes = pc.binary_length(listed).to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        data = b"".join(listed.to_pylist())
+        cuts = np.flatnonzero(np.r_[len(words) > 0, np.diff(bucket) != 0])
+        name = f"{part}-{serial}-{zlib.crc32(data)}"
+        lists = [{"deal": int(bucket[s]), "chunk": name, "bucket": int(bucket[s]), "lengths": _planes(sizes[s:e]), "words": zstandard.compress(data[ends[s] - sizes[s] : ends[e - 1]], 3)} for s, e in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+        at = {"deal": zlib.crc32(name.encode()) % buckets, "chunk": name, "doc_ids": self.ids, "counts": self.counts, "positions": _planes(number[codes]), "places": _planes(place[by_count])}
+        return pa.RecordBatch.from_pylist([*lists, at], schema=_ROWS)
+
+
+_ROWS = pa.schema([("deal", pa.int32()), ("chunk", pa.string()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary()), ("places", pa.binary())])
+_ROWS_DDL = "deal int, chunk string, bucket int, lengths binary, words binary, doc_ids array<long>, counts array<long>, positions binary, places binary"
+
+
+def _chunks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, lengths, positions, _ in _chunks(batches, path, buckets):
-            yield pa.RecordBatch.from_pydict({"chunk": [name], "doc_ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32())), "positions": pa.array([_planes(positions)], pa.binary())})
+        part, serial, chunk = TaskContext.get().partitionId(), 0, _Chunk()
+        for batch in batches:
+            starts = np.flatnonzero(batch["first"].to_numpy(zero_copy_only=False))
+            cut = int(starts[0]) if len(starts) else batch.num_rows
+            chunk.add(batch.slice(0, cut), path)
+            if chunk.total >= CHUNK_WORDS and cut < batch.num_rows:
+                yield chunk.rows(part, serial, buckets)
+                serial, chunk = serial + 1, _Chunk()
+            chunk.add(batch.slice(cut), path)
+        if chunk.ids:
+            yield chunk.rows(part, serial, buckets)
 
     return run
 
 
 def _answers(path: str):
+    """Of rows sorted by bucket: each list's ids. What one bucket knew is forgotten with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, whole, special = _load(path)
-        known = {k.encode(): [v] for k, v in special.items()}
+        bucket, known = None, {}
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch["bucket"]))
             sizes, ids = [], []
-            for lengths, blob in zip(batch["lengths"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            for own, lengths, blob in zip(batch["bucket"].to_pylist(), batch["lengths"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                if own != bucket:
+                    bucket, known = own, {k.encode(): [v] for k, v in special.items()}
                 words = _unpack(lengths, blob)
                 new = [w for w in words if w not in known]
                 for word, e in zip(new, whole.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
@@ -189,6 +222,14 @@ def _answers(path: str):
     return run
 
 
+_POSITIONS = ["chunk", "doc_ids", "counts", "positions", "places"]
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pc.is_null(batch["bucket"])).select(_POSITIONS)
+
+
 def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """values[start[i] : start[i] + length[i]] one after another."""
     ends = np.cumsum(length)
@@ -202,10 +243,12 @@ def _placed(at: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("bucket")
         size = np.concatenate([np.zeros(0, np.int64), *map(_from_planes, answers.sizes)]).astype(np.int64)
         values, start = np.concatenate([np.zeros(0, np.uint32), *map(_from_planes, answers.ids)]).astype("<u4"), np.cumsum(size) - size
-        positions = _from_planes(chunk.positions).astype(np.int64)
-        if len(positions) and positions.max() >= len(size):
+        places = _from_planes(chunk.places)
+        if len(places) != len(size):
             raise ValueError(f"chunk {chunk.chunk}: the documents were not the same when read again")
-        ends = np.cumsum(np.asarray(chunk.lengths, np.int64))
+        size, start = size[places], start[places]
+        positions = _from_planes(chunk.positions)
+        ends = np.cumsum(np.asarray(chunk.counts, np.int64))
         for doc_id, s, e in zip(chunk.doc_ids, [0, *ends.tolist()], ends.tolist(), strict=False):
             p = positions[s:e]
             ids = _gather(values, start[p], size[p])
@@ -220,19 +263,48 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
     spark = docs.sparkSession
     python_batches(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lists = rows.mapInArrow(_lists(path, buckets), "chunk string, bucket int, lengths binary, words binary")
-    answers = lists.repartition("bucket").mapInArrow(_answers(path), "chunk string, bucket int, sizes binary, ids binary")
-    at = rows.mapInArrow(_positions(path, buckets), "chunk string, doc_ids array<long>, lengths array<int>, positions binary")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # Catalyst's estimate
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, size // BUCKET_BYTES))
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_text_pieces(F.coalesce("text", F.lit("")))).alias("p"))
+    rows = pieces.select("doc_id", "p.first", "p.text", _words(F.col("p.text")).alias("words"))
+    dealt = rows.mapInArrow(_chunks(path, buckets), _ROWS_DDL).repartition("deal")
+    answers = dealt.sortWithinPartitions("bucket").mapInArrow(_answers(path), "chunk string, bucket int, sizes binary, ids binary")
+    at = dealt.mapInArrow(_positions, "chunk string, doc_ids array<long>, counts array<long>, positions binary, places binary")
     return at.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_placed, "doc_id long, n_tokens long, ids binary")
 
 
+#: Tokens that are joined with their pieces at a time.
+JOIN_TOKENS = 2**20
+
+
+def vocabulary(path: str) -> pa.Table:
+    """id and piece (bytes) of all ids."""
+    found = pieces(path)
+    return pa.table({"id": pa.array(range(len(found)), pa.uint32()), "piece": pa.array(found, pa.binary())})
+
+
+def joined_pieces(ids: np.ndarray, table: pa.Table) -> pa.Array:
+    """The piece of each id, by a join with the vocabulary; an id that it lacks has no bytes."""
+    at = pa.table({"at": np.arange(len(ids)), "id": ids}).join(table, "id", join_type="left outer", use_threads=False).combine_chunks()
+    back = np.empty(len(ids), np.int64)
+    back[at["at"].to_numpy()] = np.arange(len(ids))  # a join keeps no order
+    return pc.fill_null(at["piece"].combine_chunks(), b"").take(pa.array(back))
+
+
 def _decoded(path: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path)
+        table = vocabulary(path)
         for batch in batches:
-            texts = [b"".join(map(piece.__getitem__, np.frombuffer(x, "<u4").tolist())).decode(errors="replace") for x in batch["ids"].to_pylist()]
+            blobs = [x or b"" for x in batch["ids"].to_pylist()]
+            ends = np.cumsum([len(x) // 4 for x in blobs], dtype=np.int64)
+            ids, parts, sizes = np.frombuffer(b"".join(blobs), "<u4"), [], []
+            for s in range(0, len(ids), JOIN_TOKENS):
+                found = joined_pieces(ids[s : s + JOIN_TOKENS], table)
+                sizes.append(pc.binary_length(found).to_numpy(zero_copy_only=False).astype(np.int64))
+                parts.append(b"".join(found.to_pylist()))
+            places = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))][np.r_[0, ends]].tolist()
+            data = b"".join(parts)
+            texts = [data[s:e].decode(errors="replace") for s, e in zip(places, places[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
     return run
