@@ -126,6 +126,14 @@ def _text_pieces(text: Column) -> Column:
     return F.transform(F.when(F.length(text) <= PIECE, F.array(text)).otherwise(long), lambda x, i: F.struct((i == 0).alias("first"), x.alias("text")))
 
 
+def _bytes(words: pa.BinaryArray) -> bytes:
+    """All values of an array without nulls one after another."""
+    if not len(words):
+        return b""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    return bytes(memoryview(words.buffers()[2])[offsets[0] : offsets[-1]]) if offsets[-1] > offsets[0] else b""
+
+
 class _Chunk:
     """Rows of a chunk so far."""
 
@@ -169,16 +177,16 @@ class _Chunk:
         number[by_count], place[order.to_numpy()] = np.arange(len(words)), np.arange(len(words))
         sizes = pc.binary_length(listed).to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
-        data = b"".join(listed.to_pylist())
+        data = _bytes(listed)
         cuts = np.flatnonzero(np.r_[len(words) > 0, np.diff(bucket) != 0])
         name = f"{part}-{serial}-{zlib.crc32(data)}"
-        lists = [{"deal": int(bucket[s]), "chunk": name, "bucket": int(bucket[s]), "lengths": _planes(sizes[s:e]), "words": zstandard.compress(data[ends[s] - sizes[s] : ends[e - 1]], 3)} for s, e in zip(cuts, [*cuts[1:], len(words)], strict=True)]
-        at = {"deal": zlib.crc32(name.encode()) % buckets, "chunk": name, "doc_ids": self.ids, "counts": self.counts, "positions": _planes(number[codes]), "places": _planes(place[by_count])}
+        lists = [{"deal": f"bucket {bucket[s]}", "chunk": name, "bucket": int(bucket[s]), "lengths": _planes(sizes[s:e]), "words": zstandard.compress(data[ends[s] - sizes[s] : ends[e - 1]], 3)} for s, e in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+        at = {"deal": name, "chunk": name, "doc_ids": self.ids, "counts": self.counts, "positions": _planes(number[codes]), "places": _planes(place[by_count])}
         return pa.RecordBatch.from_pylist([*lists, at], schema=_ROWS)
 
 
-_ROWS = pa.schema([("deal", pa.int32()), ("chunk", pa.string()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary()), ("places", pa.binary())])
-_ROWS_DDL = "deal int, chunk string, bucket int, lengths binary, words binary, doc_ids array<long>, counts array<long>, positions binary, places binary"
+_ROWS = pa.schema([("deal", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary()), ("places", pa.binary())])
+_ROWS_DDL = "deal string, chunk string, bucket int, lengths binary, words binary, doc_ids array<long>, counts array<long>, positions binary, places binary"
 
 
 def _chunks(path: str, buckets: int):
@@ -205,7 +213,6 @@ def _answers(path: str):
         _, whole, special = _load(path)
         bucket, known = None, {}
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch["bucket"]))
             sizes, ids = [], []
             for own, lengths, blob in zip(batch["bucket"].to_pylist(), batch["lengths"].to_pylist(), batch["words"].to_pylist(), strict=True):
                 if own != bucket:
@@ -222,14 +229,6 @@ def _answers(path: str):
     return run
 
 
-_POSITIONS = ["chunk", "doc_ids", "counts", "positions", "places"]
-
-
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pc.is_null(batch["bucket"])).select(_POSITIONS)
-
-
 def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """values[start[i] : start[i] + length[i]] one after another."""
     ends = np.cumsum(length)
@@ -268,9 +267,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_text_pieces(F.coalesce("text", F.lit("")))).alias("p"))
     rows = pieces.select("doc_id", "p.first", "p.text", _words(F.col("p.text")).alias("words"))
     dealt = rows.mapInArrow(_chunks(path, buckets), _ROWS_DDL).repartition("deal")
-    answers = dealt.sortWithinPartitions("bucket").mapInArrow(_answers(path), "chunk string, bucket int, sizes binary, ids binary")
-    at = dealt.mapInArrow(_positions, "chunk string, doc_ids array<long>, counts array<long>, positions binary, places binary")
-    return at.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_placed, "doc_id long, n_tokens long, ids binary")
+    # below 1 only where the kind is 0; rand() keeps both filters above the exchange, so that it is one; positions stay where it dealt them
+    lists, at = (dealt.filter(kind.cast("int") + F.rand(0) < 1) for kind in (F.col("bucket").isNull(), F.col("bucket").isNotNull()))
+    answers = lists.sortWithinPartitions("bucket").mapInArrow(_answers(path), "chunk string, bucket int, sizes binary, ids binary")
+    return at.groupBy("deal").cogroup(answers.groupBy("chunk")).applyInPandas(_placed, "doc_id long, n_tokens long, ids binary")
 
 
 #: Tokens that are joined with their pieces at a time.
@@ -284,11 +284,13 @@ def vocabulary(path: str) -> pa.Table:
 
 
 def joined_pieces(ids: np.ndarray, table: pa.Table) -> pa.Array:
-    """The piece of each id, by a join with the vocabulary; an id that it lacks has no bytes."""
-    at = pa.table({"at": np.arange(len(ids)), "id": ids}).join(table, "id", join_type="left outer", use_threads=False).combine_chunks()
-    back = np.empty(len(ids), np.int64)
-    back[at["at"].to_numpy()] = np.arange(len(ids))  # a join keeps no order
-    return pc.fill_null(at["piece"].combine_chunks(), b"").take(pa.array(back))
+    """The piece of each id: the different ids are joined with the vocabulary, and the pieces go to their places; an id that the vocabulary lacks has no bytes."""
+    coded = pa.array(ids).dictionary_encode()
+    n = len(coded.dictionary)
+    at = pa.table({"at": np.arange(n), "id": coded.dictionary}).join(table, "id", join_type="left outer", use_threads=False).combine_chunks()
+    back = np.empty(n, np.int64)
+    back[at["at"].to_numpy()] = np.arange(n)  # a join keeps no order
+    return pc.fill_null(at["piece"].combine_chunks(), b"").take(pa.array(back[coded.indices.to_numpy()]))
 
 
 def _decoded(path: str, columns: list[str]):
@@ -301,7 +303,7 @@ def _decoded(path: str, columns: list[str]):
             for s in range(0, len(ids), JOIN_TOKENS):
                 found = joined_pieces(ids[s : s + JOIN_TOKENS], table)
                 sizes.append(pc.binary_length(found).to_numpy(zero_copy_only=False).astype(np.int64))
-                parts.append(b"".join(found.to_pylist()))
+                parts.append(_bytes(found))
             places = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))][np.r_[0, ends]].tolist()
             data = b"".join(parts)
             texts = [data[s:e].decode(errors="replace") for s, e in zip(places, places[1:], strict=False)]

@@ -77,7 +77,7 @@ def test_texts_are_split_once(spark, sf_dir):
     out = bpe.op9_bpe(spark, sf_dir)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ReusedExchange") >= 1
+    assert plan.count("ReusedExchange") >= 1 and plan.split("== Initial Plan ==")[0].count("- Exchange hashpartitioning(") == 2
 
 
 def test_decoding_joins_any_ids(spark):
