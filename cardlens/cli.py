@@ -67,6 +67,13 @@ def main(argv: list[str] | None = None) -> int:
     side.add_argument("parquet")
     side.add_argument("out")
     b.add_parser("report").add_argument("store")
+    for name in ("compare", "calibrate"):
+        two = b.add_parser(name, help="two reports of bench run")
+        two.add_argument("before")
+        two.add_argument("after")
+    c = b.add_parser("convert", help="CSV files without header to Parquet")
+    c.add_argument("folder")
+    c.add_argument("schemas", help="JSON file: table name to schema in DDL")
     a = top.parse_args(argv)
     if a.command == "inspect":
         print(json.dumps(puffin.inspect(Path(a.file).read_bytes()), indent=1))
@@ -92,6 +99,14 @@ def main(argv: list[str] | None = None) -> int:
         from cardlens.sources.tables import build_sidecar
 
         Path(a.out).write_bytes(build_sidecar(_spark().read.parquet(a.parquet)))
+    elif a.action in ("compare", "calibrate"):
+        from cardlens import runner
+
+        print(json.dumps(getattr(runner, a.action)(*map(runner.load_report, (a.before, a.after)))))
+    elif a.action == "convert":
+        from cardlens.sources.tables import csv_to_parquet
+
+        csv_to_parquet(_spark(), a.folder, json.loads(Path(a.schemas).read_text()))
     elif a.action == "train":
         from cardlens.plans.correctors import GradientBoosted
         from cardlens.plans.feedback import FeedbackStore

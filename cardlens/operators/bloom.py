@@ -14,6 +14,8 @@ from cardlens.functions.hashing import canonical, xxh64
 
 SEEDS = (0xC0FFEE, 0xBEEF)
 MAX_BITS = 2**33
+#: Bits of a filter that may be brought to the driver: 128 MB.
+COLLECT_BITS = 2**30
 
 
 def sizing(capacity: int, rate: float) -> tuple[int, int]:
@@ -32,11 +34,21 @@ def lossy_sizing(capacity: int, rate: float) -> tuple[int, int]:
 
 
 def positions(value: Column, bits: int, hashes: int) -> Column:
-    """Array of (h1 + i * h2 mod 2**64) mod bits, in decimals wide enough not to overflow."""
-    wrap = F.lit(str(2**64)).cast("decimal(38,0)")
-    whole = lambda h: F.when(h < 0, h.cast("decimal(38,0)") + wrap).otherwise(h.cast("decimal(38,0)"))
-    h1, h2 = (whole(xxh64(value, s)) for s in SEEDS)
-    return F.array(*[((h1 + F.lit(str(i)).cast("decimal(4,0)") * h2.cast("decimal(20,0)")) % wrap % F.lit(str(bits)).cast("decimal(20,0)")).cast("long") for i in range(hashes)])
+    """Array of (h1 + i * h2 mod 2**64) mod bits, in longs: the hashes are taken as two halves of 32 bits, so that nothing overflows."""
+    half = 2**32 - 1
+    low, high = lambda x: x.bitwiseAND(F.lit(half)), lambda x: F.shiftrightunsigned(x, 32)
+    h1, h2 = (xxh64(value, s) for s in SEEDS)
+
+    def position(i: int) -> Column:
+        lo = low(h1) + low(h2) * i
+        hi = low(high(h1) + high(h2) * i + high(lo))
+        lo = low(lo)
+        out = hi % bits
+        for part in (F.shiftrightunsigned(lo, 16), lo.bitwiseAND(F.lit(0xFFFF))):
+            out = (out * 65536 + part) % bits
+        return out
+
+    return F.array(*map(position, range(hashes)))
 
 
 def set_bits(df: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
@@ -73,6 +85,8 @@ class BloomFilter:
     @classmethod
     def collect(cls, bit_rows: DataFrame, num_bits: int, num_hashes: int) -> BloomFilter:
         """Bits are packed to 32-bit words by the executors and come as Arrow columns: 12 bytes for each word that is not zero."""
+        if num_bits > COLLECT_BITS:
+            raise ValueError(f"{num_bits} bits are too many for the driver ({COLLECT_BITS}); contains() joins them")
         word, place = F.floor(F.col("bit") / 32), F.pow(F.lit(2), F.col("bit") % 32).cast("long")
         packed = bit_rows.groupBy(word.alias("word")).agg(F.sum(place).alias("value")).toArrow()
         words = np.zeros(-(-num_bits // 32), "<u4")

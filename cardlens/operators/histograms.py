@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from cardlens.functions.hashing import micros
 
+from .ranks import RANGE_VALUES, ranked
+
 
 def numeric(df: DataFrame, column: str):
     """The column as double; dates as days, timestamps as nanoseconds."""
@@ -26,28 +28,20 @@ def numeric(df: DataFrame, column: str):
     raise TypeError(f"column {column}: {kind.simpleString()} has no order of numbers")
 
 
-def equi_depth(df: DataFrame, column: str, buckets: int, range_rows: int = 1_000_000) -> DataFrame:
+def equi_depth(df: DataFrame, column: str, buckets: int, range_rows: int = RANGE_VALUES) -> DataFrame:
     """bucket (from 1), count, low (of the first: the minimum; else the last bucket's high), high.
 
-    Equal values are one row with their number, ranges of values are sorted apart, and each range's ranks begin after the
-    sum of the ranges before: no task sorts the whole column, and no value's copies are shuffled one by one.
+    Ranks come from ranges of about equally many different values: no task sorts the whole column, and no value's copies
+    are shuffled one by one.
     """
     if buckets < 2:
         raise ValueError("at least 2 buckets")
-    values = df.select(numeric(df, column).alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count("*").alias("c"))
-    lo, hi, different = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    parts = -(-different // range_rows)
-    part = F.least(F.floor((F.col("v") - lo) / (hi - lo) * parts), F.lit(parts - 1)) if different > 1 else F.lit(0)
-    parted = values.withColumn("part", part.cast("long"))
-    sums = parted.groupBy("part").agg(F.sum("c").alias("s"))
-    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = sums.withColumn("start", F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).withColumn("n", F.sum("s").over(along))
-    up = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parted.join(before, "part").withColumn("last", F.col("start") + F.sum("c").over(up)).withColumn("first", F.col("last") - F.col("c") + 1)
+    v = numeric(df, column)
+    found = ranked(df, F.when(~F.isnan(v), v), range_rows)
     b = F.least(F.lit(buckets), F.col("n"))
     size, extra = F.floor(F.col("n") / b), F.col("n") % b
     tile = lambda rank: F.when(rank <= extra * (size + 1), F.ceil(rank / (size + 1))).otherwise(extra + F.ceil((rank - extra * (size + 1)) / size)).cast("int")
-    tiles = ranked.filter("n >= 2").select("v", "n", size.alias("size"), extra.alias("extra"), F.explode(F.sequence(tile(F.col("first")), tile(F.col("last")))).alias("bucket"))
+    tiles = found.filter("n >= 2").select("v", "n", size.alias("size"), extra.alias("extra"), F.explode(F.sequence(tile(F.col("first")), tile(F.col("last")))).alias("bucket"))
     found = tiles.groupBy("bucket", "size", "extra").agg(F.max("v").alias("high"), F.min("v").alias("least"))
     step = Window.orderBy("bucket")
     return found.select("bucket", (F.col("size") + (F.col("bucket") <= F.col("extra")).cast("long")).alias("count"), F.coalesce(F.lag("high").over(step), F.col("least")).alias("low"), "high")

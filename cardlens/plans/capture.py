@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 JOINS = ("Join", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct")
 
 
-def _seq(x) -> list:
+def seq(x) -> list:
     return [x.apply(i) for i in range(x.size())]
 
 
-def _option(x) -> int | None:
+def option(x) -> int | None:
     return int(str(x.get())) if x.isDefined() else None
 
 
@@ -38,10 +38,17 @@ class Node:
             yield from c.walk()
 
 
-def logical(df: DataFrame) -> Node:
-    """The optimised plan with the estimates Catalyst has."""
+def estimated_rows(plan) -> int:
+    """Of a JVM plan: Catalyst's row count, or where it only knows bytes, the rows that these make by the default sizes of the types."""
+    known = option(plan.stats().rowCount())
+    width = 8 + sum(a.dataType().defaultSize() for a in seq(plan.output()))
+    return int(str(plan.stats().sizeInBytes())) // width if known is None else known
+
+
+def logical(df: DataFrame, from_bytes: bool = False) -> Node:
+    """The optimised plan with the estimates Catalyst has; from_bytes: those it only has as bytes too."""
     def node(p) -> Node:
-        return Node(p.nodeName(), _option(p.stats().rowCount()), p.simpleString(200), [node(c) for c in _seq(p.children())])
+        return Node(p.nodeName(), estimated_rows(p) if from_bytes else option(p.stats().rowCount()), p.simpleString(200), [node(c) for c in seq(p.children())])
 
     return node(df._jdf.queryExecution().optimizedPlan())
 
@@ -55,7 +62,7 @@ def physical(df: DataFrame) -> Node:
         if name.endswith("QueryStage"):
             return node(p.plan())
         found = p.metrics().get("numOutputRows")
-        return Node(re.sub(r" \(\d+\)", "", name), int(found.get().value()) if found.isDefined() else None, p.simpleString(200), [node(c) for c in _seq(p.children())])
+        return Node(re.sub(r" \(\d+\)", "", name), int(found.get().value()) if found.isDefined() else None, p.simpleString(200), [node(c) for c in seq(p.children())])
 
     return node(df._jdf.queryExecution().executedPlan())
 
@@ -116,24 +123,34 @@ class Outcome:
     joins: list[tuple[str, int | None, int | None]]
 
 
+def _single_number(df: DataFrame) -> bool:
+    """Whether the plan gives one row at most, of one bigint."""
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return [t for _, t in df.dtypes] == ["bigint"] and most.isDefined() and int(str(most.get())) <= 1
+
+
 def actual_rows(df: DataFrame) -> int:
-    """Rows of the result, or the value of a result of one number."""
-    rows = df.limit(2).collect()
-    if len(rows) == 1 and len(df.columns) == 1 and df.dtypes[0][1] == "bigint" and "count" in df.columns[0].lower():
-        return rows[0][0]
-    return df.count()
+    """Rows of the result, or the value of a result of one row and one bigint. Runs df's own execution, whose metrics it fills, and collects one row at most."""
+    if _single_number(df):
+        rows = df.collect()
+        return rows[0][0] or 0 if rows else 0
+    n = df._jdf.queryExecution().toRdd().count()
+    if n == 1 and [t for _, t in df.dtypes] == ["bigint"]:  # one row by chance
+        return df.first()[0] or 0
+    return n
 
 
 def observe(df: DataFrame) -> Outcome:
     """Runs df once and pairs each join's estimate with its rows.
 
-    Adaptive execution may change the order of joins, so nodes are paired by the keys in their conditions.
+    Adaptive execution may change the order of joins, so nodes are paired by the keys in their conditions. df is planned
+    anew, as metrics add up over the runs of one plan.
     """
-    before = logical(df)
+    df = DataFrame(df._jdf.toDF(), df.sparkSession)
+    before = logical(df, from_bytes=True)
     began = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    actual = actual_rows(df)
     seconds = time.perf_counter() - began
-    actual = df.count()
     key = lambda text: frozenset(re.findall(r"\w+#\d+", text))
     ran = [(key(n.text), n) for n in joins(physical(df))]
     pairs = []

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+import secrets
 import time
 from dataclasses import astuple, dataclass
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardlens.operators.ranks import ranked
+from cardlens.sources import shared
+
 from .capture import FEATURES, CorrectionFeatures
 
 VERSION = 2
@@ -50,28 +53,32 @@ class Observation:
 
 
 class FeedbackStore:
-    """A folder of Parquet files and a version file; a newer version is refused, older rows lack features."""
+    """A folder of Parquet files and a version file on any file system of Spark's; a newer version is refused, older rows lack features.
+
+    Several writers may append at once: an id is the microsecond of its record with 11 random bits, ascending in time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        folder = Path(path)
-        folder.mkdir(parents=True, exist_ok=True, mode=0o700)
-        meta = folder / "_meta.json"
-        if meta.exists() and (found := json.loads(meta.read_text())["version"]) > VERSION:
-            raise ValueError(f"the store has version {found}; this library knows {VERSION}")
-        meta.write_text(json.dumps({"version": VERSION}))
-        meta.chmod(0o600)
+        self.spark, self.path = spark, path.rstrip("/")
+        meta = f"{self.path}/_meta.json"
+        if shared.exists(spark, meta):
+            if (found := json.loads(shared.read_text(spark, meta))["version"]) > VERSION:
+                raise ValueError(f"the store has version {found}; this library knows {VERSION}")
+        else:
+            shared.make_folder(spark, self.path)
+            shared.restrict(spark, self.path, "700")
+        shared.write_text(spark, meta, json.dumps({"version": VERSION}), "600")
 
     def record(self, *observations: Observation) -> list[int]:
         """Appends in one job; the new ids."""
-        start = self.count()
         now = time.time()
-        rows = [(start + i, o.template_hash, o.plan_fingerprint, o.est_rows, o.actual_rows, o.latency_ms, now, *([float(x) for x in astuple(o.features)] if o.features else [None] * len(FEATURES))) for i, o in enumerate(observations)]
+        start = int(now * 1e6) * 2**11 + secrets.randbits(11)
+        rows = [(start + 2**11 * i, o.template_hash, o.plan_fingerprint, o.est_rows, o.actual_rows, o.latency_ms, now, *([float(x) for x in astuple(o.features)] if o.features else [None] * len(FEATURES))) for i, o in enumerate(observations)]
         self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/rows")
         return [r[0] for r in rows]
 
     def all(self) -> DataFrame:
-        if not (Path(self.path) / "rows").exists():
+        if not shared.exists(self.spark, f"{self.path}/rows"):
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/rows")
 
@@ -100,11 +107,8 @@ def template_report(rows: DataFrame) -> DataFrame:
 
 def latency_percentiles(rows: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.99, 1.0)) -> DataFrame:
     """One row: p50, p90, ... by nearest rank round(share * (n - 1)); equal latencies are ranked as one."""
-    values = rows.filter("latency_ms IS NOT NULL").groupBy("latency_ms").agg(F.count("*").alias("c"))
-    up = Window.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = values.withColumn("last", F.sum("c").over(up)).withColumn("n", F.sum("c").over(whole))
-    return ranked.agg(*[F.min(F.when(F.col("last") > F.floor(F.lit(s) * (F.col("n") - 1) + 0.5), F.col("latency_ms"))).alias(f"p{s * 100:g}") for s in shares])
+    found = ranked(rows, F.col("latency_ms"))
+    return found.agg(*[F.min(F.when(F.col("last") > F.floor(F.lit(s) * (F.col("n") - 1) + 0.5), F.col("v"))).alias(f"p{s * 100:g}") for s in shares])
 
 
 def summary(q_errors: DataFrame, q: str = "q") -> DataFrame:

@@ -73,6 +73,11 @@ def run(spark: SparkSession, queries: dict, folder: str, trials: int = 1, only=N
     return out
 
 
+def load_report(path: str) -> list[QueryOutcome]:
+    """The outcomes of a report that run() wrote."""
+    return [QueryOutcome(**{k: o[k] for k in QueryOutcome.__dataclass_fields__}) for o in json.loads(Path(path).read_text())["outcomes"]]
+
+
 def geomean(x: list[float]) -> float:
     return math.exp(sum(map(math.log, x)) / len(x)) if x else math.nan
 

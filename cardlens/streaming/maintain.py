@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 
 from cardlens.operators import cms, hll
+from cardlens.sources import shared
 
 
-def _versions(path: str) -> list[int]:
-    return sorted(int(n) for n in os.listdir(path) if n.isdigit()) if os.path.isdir(path) else []
+def _versions(spark, path: str) -> list[int]:
+    """Whole ones, on any file system."""
+    return sorted(int(n) for n in shared.names(spark, path) if n.isdigit() and shared.exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
 def _merge_into(path: str, batch_id: int, rows: DataFrame, merge) -> None:
     """Writes the next version under the batch's number: a batch that is run again replaces its own version only."""
-    older = [v for v in _versions(path) if v < batch_id and os.path.exists(f"{path}/{v}/_SUCCESS")]
+    older = [v for v in _versions(rows.sparkSession, path) if v < batch_id]
     if older:
         rows = merge(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{older[-1]}"), rows)
     rows.write.mode("overwrite").parquet(f"{path}/{batch_id}")
@@ -31,4 +31,4 @@ def count_min_stream(stream: DataFrame, column: str, path: str, checkpoint: str,
 
 
 def latest(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{[v for v in _versions(path) if os.path.exists(f'{path}/{v}/_SUCCESS')][-1]}")
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")

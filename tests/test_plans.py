@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from cardlens import runner
 from cardlens.functions import inference
 from cardlens.operators.cms import CountMin, counters
-from cardlens.plans import capture, correctors, feedback, filters, hints
+from cardlens.plans import capture, correctors, feedback, filters, hints, prejoin
 from cardlens.plans.capture import CorrectionFeatures
+from cardlens.sources import shared
+from cardlens.sources.portable import ColumnStats, StatsTable
 
 
 def orders_join(spark, sf_dir):
@@ -24,10 +26,15 @@ def test_estimates_and_actual_rows(spark, sf_dir):
     plan = capture.logical(df)
     assert capture.join_depth(plan) == 1 and capture.predicate_count(plan) >= 3
     seen = capture.observe(df)
-    assert seen.actual == df.count() and len(seen.joins) == 1
-    df.collect()
-    assert capture.joins(capture.physical(df))[0].rows == seen.actual
-    assert capture.actual_rows(spark.range(7)) == 7 and capture.actual_rows(spark.range(7).agg(F.count("*"))) == 7
+    assert len(seen.joins) == 1 and seen.joins[0][2] == seen.actual and seen.joins[0][1] > 0 and seen.estimate > 0
+    assert seen.actual == df.count()
+    nested = df.join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")).filter("c_custkey < 50")
+    found = [n for _, _, n in capture.observe(nested).joins]
+    assert found[0] == nested.count() and len(found) == 2 and all(found)
+    ones = df.agg(F.count("*").alias("n"))
+    assert (capture.observe(ones).actual, capture.observe(ones).joins[0][2]) == (seen.actual, seen.actual)
+    assert capture.actual_rows(spark.range(7).agg(F.count("*").alias("n"))) == 7 and capture.actual_rows(spark.range(5, 6)) == 5
+    assert capture.actual_rows(spark.range(7)) == 7 and capture.actual_rows(spark.range(0)) == 0 and capture.actual_rows(spark.range(7).agg(F.count("*"))) == 7
     assert seen.features.to_list()[-1] == 1.0
 
 
@@ -41,9 +48,12 @@ def test_cached_and_analysed_tables_have_estimates(spark):
 def test_store(spark, tmp_path, sf_dir):
     store = feedback.FeedbackStore(spark, str(tmp_path / "s"))
     assert store.count() == 0 and store.templates().count() == 0
-    assert store.record(feedback.Observation("a", "p1", 10, 100, 5.0), feedback.Observation("a", "p2", 0, 7, 1.0)) == [0, 1]
+    assert store.record(feedback.Observation("a", "p1", 10, 100, 5.0), feedback.Observation("a", "p2", 0, 7, 1.0)) == sorted(r["id"] for r in store.all().collect())
     store.record(feedback.Observation("b", "p1", 4, 2, 3.0, CorrectionFeatures(4, predicate_count=2)))
-    assert [r["id"] for r in store.history("a").collect()] == [0, 1]
+    assert [r["est_rows"] for r in store.history("a").collect()] == [10, 0]
+    others = [feedback.FeedbackStore(spark, f"file://{tmp_path}/w") for _ in range(2)]  # two writers of one store
+    ids = [i for n in range(3) for w in others for i in w.record(feedback.Observation("a", "p", n, n))]
+    assert len(set(ids)) == others[0].count() == 6
     assert store.plan_history("a").count() == 0 and store.plan_history("b").first()["predicate_count"] == 2
     report = {r["template_hash"]: r for r in store.templates().collect()}
     assert (report["a"]["n"], report["a"]["avg_q"], report["a"]["max_q"], report["a"]["n_infinite"]) == (2, 5.0, 10.0, 1)
@@ -52,7 +62,7 @@ def test_store(spark, tmp_path, sf_dir):
     feedback.capture(orders_join(spark, sf_dir), store, "c")
     assert feedback.run_with_feedback(spark.range(3), store, "d").count() == 3
     assert store.count() == 5 and feedback.FeedbackStore(spark, str(tmp_path / "s")).count() == 5
-    (tmp_path / "s" / "_meta.json").write_text(json.dumps({"version": 99}))
+    shared.write_text(spark, f"{tmp_path}/s/_meta.json", json.dumps({"version": 99}))
     with pytest.raises(ValueError):
         feedback.FeedbackStore(spark, str(tmp_path / "s"))
 
@@ -150,7 +160,76 @@ def test_planner_changes_plans_and_no_results(spark, sf_dir):
     merge = hints.JoinPlanner(broadcast_bytes=0, hash_bytes=0).build(relations, edges)
     plan = merge._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
-    assert planner.metrics.attempts == 2
+    assert planner.metrics.attempts == 3
+
+
+def test_correctors_change_the_hinted_plan(spark, sf_dir):
+    names = ("lineitem", "orders", "customer")
+    relations = [hints.Relation(n, df, df.count()) for n in names for df in [spark.read.parquet(f"{sf_dir}/{n}.parquet")]]
+    edges = [(0, 1, "l_orderkey", "o_orderkey"), (1, 2, "o_custkey", "c_custkey")]
+    below = hints.Options(allow_below_native=True)
+    small, none = (hints.JoinPlanner(Fixed(n), below, broadcast_bytes=5_000).build(relations, edges) for n in (10, None))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (small, none)]
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+    assert small.count() == none.count() > 0
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_pre_join_rule_changes_plans_and_no_results(spark, sf_dir):
+    l, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    df = orders_join(spark, sf_dir)
+    stats = [StatsTable(l, l.count(), {}), StatsTable(o, o.count(), {})]
+    below = hints.Options(allow_below_native=True)
+    rule = lambda answer, **how: prejoin.PreJoinRule(Fixed(answer), how.pop("options", below), how.pop("stats", stats), broadcast_bytes=20_000, **how)
+    few, many = rule(10), rule(10**9)
+    plans = [r.apply(df) for r in (few, many)]
+    assert "BroadcastHashJoin" in executed(plans[0]) and "BroadcastHashJoin" not in executed(plans[1])
+    assert few.metrics.attempts == 2 and few.metrics.applied == 2 and many.metrics.clamped == 2  # under the tables' rows
+    want = sorted(map(repr, df.collect()))
+    for plan in plans:
+        assert plan.columns == df.columns and sorted(map(repr, plan.collect())) == want
+    # without proven rows nothing is broadcast, below native only if that is allowed, and a wide ceiling is not proof enough
+    assert "BroadcastHashJoin" not in executed(rule(10, stats=[]).apply(df))
+    assert "BroadcastHashJoin" not in executed(rule(10, options=hints.Options()).apply(df))
+    assert "BroadcastHashJoin" not in executed(rule(10, proven_bytes=1000).apply(df))
+    assert "BroadcastHashJoin" in executed(rule(10).apply(df.groupBy("o_custkey").agg(F.count("*"))))
+    assert "SortMergeJoin" in executed(rule(10**9, hash_bytes=0).apply(df))
+    # the user's hint stays, other joins too, and a corrector that breaks does no harm
+    assert "SortMergeJoin" in executed(few.apply(l.join(o.hint("merge"), l.l_orderkey == o.o_orderkey)))
+    loop = l.join(o, l.l_quantity > o.o_totalprice)
+    assert few.apply(loop) is loop
+    broken = rule("broken")
+    assert broken.apply(df).count() == len(want) and broken.metrics.errors == 2
+
+
+def test_a_statistics_bound_reaches_the_join(spark, sf_dir):
+    """Outer joins have no ceiling of their product; a bound of a column is the table's; a filter keeps its child's."""
+    l, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    bound = StatsTable(o, None, {"o_orderkey": ColumnStats(upper_bound_rows=40, distinct_count=40)})
+    rule = prejoin.PreJoinRule(Fixed(10**9), hints.Options(), [bound], broadcast_bytes=20_000)
+    plan = rule.apply(l.join(o.filter("o_totalprice > 1"), l.l_orderkey == o.o_orderkey, "left"))
+    assert "BroadcastHashJoin" in executed(plan) and rule.metrics.clamped >= 1
+
+
+def test_installed_rule(spark, sf_dir):
+    l, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    l.createOrReplaceTempView("rule_l")
+    o.createOrReplaceTempView("rule_o")
+    text = "SELECT count(*) AS n FROM rule_l JOIN rule_o ON l_orderkey = o_orderkey"
+    want = spark.sql(text).first()["n"]
+    with pytest.raises(LookupError):
+        prejoin.planned(l)
+    try:
+        for _ in range(2):
+            prejoin.install(spark, prejoin.PreJoinRule(Fixed(10**9), hints.Options(), [], broadcast_bytes=0, hash_bytes=0))
+        assert "SortMergeJoin" in executed(spark.sql(text)) and spark.sql(text).first()["n"] == want
+        assert prejoin.planned(l.join(o, l.l_orderkey == o.o_orderkey)).count() == want
+    finally:
+        prejoin.uninstall(spark)
+    assert spark.sql(text).first()["n"] == want
 
 
 def test_filter_bounds_dominate(spark):
@@ -173,6 +252,10 @@ def test_runner(spark, sf_dir, tmp_path):
     before = runner.run(spark, some, sf_dir, exclude=["e2e_s1"], store=store, report=str(tmp_path / "r.json"))
     assert [o.query for o in before] == ["synthetic_s1", "synthetic_s3", "broken"] and before[-1].error
     assert json.loads((tmp_path / "r.json").read_text())["n_queries"] == 3 and store.count() == 2
+    again = runner.load_report(str(tmp_path / "r.json"))
+    assert [(o.query, o.actual, o.q_error) for o in again] == [(o.query, o.actual, o.q_error) for o in before]
+    joins = runner.run(spark, {"join": lambda s, d: orders_join(s, d)}, sf_dir)
+    assert runner.join_q_summary(joins)["joins"] == 1 and runner.join_q_summary(joins)["geomean"] >= 1 and joins[0].joins[0][2] == joins[0].actual
     after = runner.run(spark, some, sf_dir, only=["synthetic_s1"], corrector=Fixed(before[0].actual), cold=True)
     assert after[0].corrected == after[0].actual and runner.q_summary(after)["geomean"] == 1
     assert runner.calibrate(before, after)["queries"] == 1 and runner.compare(before, after)["geomean"] > 0
@@ -189,6 +272,12 @@ def test_statistics():
         assert lo < x.mean() < hi and hi - lo < 1
     w, p = inference.wilcoxon_signed_rank([1, 2, 3, 4, 5, 6, 7, 8], [0] * 8)
     assert w == 0 and p < 0.02 and inference.wilcoxon_signed_rank([1, 2], [1, 2]) == (0.0, 1.0)
+    for n in (6, 9):  # against all signs
+        a = np.random.default_rng(n).permutation(np.arange(1, n + 1)) * np.random.default_rng(n + 1).choice([-1, 1], n)
+        w, p = inference.wilcoxon_signed_rank(a, [0] * n)
+        sums = [sum(r + 1 for r in range(n) if s >> r & 1) for s in range(2**n)]
+        assert abs(p - min(1.0, 2 * np.mean([x <= w for x in sums]))) < 1e-12
+    assert np.allclose(inference.adjusted_p_values([0.01, 0.04, 0.03, 0.5]), [0.04, 0.16 / 3, 0.16 / 3, 0.5])
     assert inference.benjamini_hochberg([0.001, 0.2, 0.02, 0.9]) == [True, False, True, False]
     assert inference.max_diff_edges([1, 2, 3, 4, 5], [1, 1, 9, 1, 1], 3)[-1] == 5.0
     assert inference.v_optimal_edges([1, 2, 3, 4], [1, 1, 9, 9], 2) == [2.0, 4.0]
