@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cardlens.operators import bloom, cms, histograms, hll
 from cardlens.plans import feedback
+from cardlens.plans.filters import strategy_column
 from cardlens.sources.tables import table
 
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
@@ -30,13 +31,13 @@ h4 AS (SELECT v, seed, {mul(f"xor(a, a // {2**29}::UHUGEINT)", _P3)} AS a FROM h
 hashed AS (SELECT v, seed, xor(a, a // {2**32}::UHUGEINT) AS h FROM h4)"""
 
 
-def _registers_sql(values: str, p: int) -> str:
+def registers_sql(values: str, p: int) -> str:
     rest = f"((h * {2**p}::UHUGEINT) % {_W}::UHUGEINT)"
     rho = f"CASE WHEN {rest} = 0 THEN {65 - p} ELSE 65 - length(ltrim(bin({rest}::UBIGINT), '0')) END"
     return f"WITH {hash_ctes(values, [0])}, regs AS (SELECT (h // {2 ** (64 - p)}::UHUGEINT)::INT AS idx, max(({rho})::INT) AS rho FROM hashed GROUP BY 1)"
 
 
-def _estimate_sql(p: int) -> str:
+def estimate_sql(p: int) -> str:
     m = 1 << p
     raw = f"{hll.alpha(m) * m * m!r}::DOUBLE / (sum(pow(2.0::DOUBLE, -rho)) + ({m} - count(*)))"
     return f"SELECT floor(CASE WHEN {raw} <= {2.5 * m!r} AND count(*) < {m} THEN {float(m)!r} * ln({float(m)!r} / ({m} - count(*))) ELSE {raw} END)::BIGINT AS estimate, count(*) AS floor FROM regs"
@@ -56,22 +57,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("hll_registers_bigint", f"{_registers_sql(ORDER_KEYS, 12)} SELECT idx, rho FROM regs")
+@query("hll_registers_bigint", f"{registers_sql(ORDER_KEYS, 12)} SELECT idx, rho FROM regs")
 def _(spark, d):
     return hll.registers(_t(spark, d, "orders"), "o_orderkey", 12)
 
 
-@query("hll_estimate_bigint", f"{_registers_sql(ORDER_KEYS, 12)} {_estimate_sql(12)}")
+@query("hll_estimate_bigint", f"{registers_sql(ORDER_KEYS, 12)} {estimate_sql(12)}")
 def _(spark, d):
     return hll.estimate(hll.registers(_t(spark, d, "orders"), "o_orderkey", 12), 12)
 
 
-@query("hll_floor", f"{_registers_sql(CUSTOMER_KEYS, 10)} SELECT count(*) AS floor FROM regs")
+@query("hll_floor", f"{registers_sql(CUSTOMER_KEYS, 10)} SELECT count(*) AS floor FROM regs")
 def _(spark, d):
     return hll.estimate(hll.registers(_t(spark, d, "orders"), "o_custkey", 10), 10).select("floor")
 
 
-@query("hll_merge", f"{_registers_sql('SELECT o_custkey AS v FROM orders UNION ALL SELECT c_custkey FROM customer', 12)} {_estimate_sql(12)}")
+@query("hll_merge", f"{registers_sql('SELECT o_custkey AS v FROM orders UNION ALL SELECT c_custkey FROM customer', 12)} {estimate_sql(12)}")
 def _(spark, d):
     return hll.estimate(hll.merge(hll.registers(_t(spark, d, "orders"), "o_custkey"), hll.registers(_t(spark, d, "customer"), "c_custkey")), 12)
 
@@ -149,7 +150,11 @@ def _(spark, d):
 
 @query("corr2d_range", f"{_GRID} SELECT sum(cnt)::BIGINT AS estimate FROM g WHERE i BETWEEN 2 AND 6 AND j BETWEEN 1 AND 8")
 def _(spark, d):
-    return _grid(spark, d).filter("i BETWEEN 2 AND 6 AND j BETWEEN 1 AND 8").agg(F.sum("cnt").alias("estimate"))
+    df = _t(spark, d, "lineitem")
+    layout = histograms.grid_layout(df, "l_quantity", "l_extendedprice")
+    whole = histograms.CorrelatedHistogram.collect(histograms.grid(df, "l_quantity", "l_extendedprice", 16, 16, layout), 16, 16, layout)
+    within = lambda lo, hi, cell: lo + (hi - lo) * (cell + 0.5) / 16
+    return spark.createDataFrame([(whole.estimate_range(within(*layout[:2], 2), within(*layout[:2], 6), within(*layout[2:], 1), within(*layout[2:], 8)),)], "estimate long")
 
 
 @query("corr2d_merge", f"{_GRID} SELECT i, j, 2 * cnt AS cnt FROM g")
@@ -164,7 +169,7 @@ def _degrees(spark, d, table: str, key: str, prefix: str):
     return counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias(f"rows_{prefix}"), F.count("*").alias(f"distinct_{prefix}"), F.coalesce(F.max("c"), F.lit(0)).alias(f"degree_{prefix}"))
 
 
-def _degrees_sql(table: str, key: str, prefix: str) -> str:
+def degrees_sql(table: str, key: str, prefix: str) -> str:
     return f"{prefix} AS (SELECT coalesce(sum(c), 0)::BIGINT AS rows_{prefix}, count(*) AS distinct_{prefix}, coalesce(max(c), 0) AS degree_{prefix} FROM (SELECT count(*) AS c FROM {table} WHERE {key} IS NOT NULL GROUP BY {key}))"
 
 
@@ -173,17 +178,17 @@ def _(spark, d):
     return _t(spark, d, "orders").agg(F.count("*").alias("row_count"), (F.count("*") - F.count("o_custkey")).alias("null_count"), F.countDistinct("o_custkey").alias("distinct_count"), F.min("o_totalprice").alias("min_price"), F.max("o_totalprice").alias("max_price"))
 
 
-@query("max_degree_lineitem", f"WITH {_degrees_sql('lineitem', 'l_orderkey', 'l')} SELECT * FROM l")
+@query("max_degree_lineitem", f"WITH {degrees_sql('lineitem', 'l_orderkey', 'l')} SELECT * FROM l")
 def _(spark, d):
     return _degrees(spark, d, "lineitem", "l_orderkey", "l")
 
 
-@query("degree_from_distinct", f"WITH {_degrees_sql('orders', 'o_custkey', 'o')} SELECT rows_o - distinct_o + 1 AS degree, rows_o - distinct_o + 1 >= degree_o AS sound FROM o")
+@query("degree_from_distinct", f"WITH {degrees_sql('orders', 'o_custkey', 'o')} SELECT rows_o - distinct_o + 1 AS degree, rows_o - distinct_o + 1 >= degree_o AS sound FROM o")
 def _(spark, d):
     return _degrees(spark, d, "orders", "o_custkey", "o").select((F.col("rows_o") - F.col("distinct_o") + 1).alias("degree"), (F.col("rows_o") - F.col("distinct_o") + 1 >= F.col("degree_o")).alias("sound"))
 
 
-_FK = f"""WITH {_degrees_sql("lineitem", "l_orderkey", "l")}, {_degrees_sql("orders", "o_orderkey", "r")}, t AS (SELECT count(*) AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+_FK = f"""WITH {degrees_sql("lineitem", "l_orderkey", "l")}, {degrees_sql("orders", "o_orderkey", "r")}, t AS (SELECT count(*) AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT rows_l, rows_r, rows_l * rows_r AS product, least(rows_l * rows_r, rows_l * (rows_r - distinct_r + 1), rows_r * (rows_l - distinct_l + 1)) AS ceiling_distinct,
   least(rows_l * rows_r, rows_l * degree_r, rows_r * degree_l) AS ceiling_degree, truth, least(rows_l * rows_r, rows_l * degree_r, rows_r * degree_l) >= truth AS sound FROM l, r, t"""
 
@@ -200,35 +205,48 @@ def join_ceiling_fk(spark, d):
     return one.select("rows_l", "rows_r", product.alias("product"), by_distinct.alias("ceiling_distinct"), by_degree.alias("ceiling_degree"), "truth", (by_degree >= F.col("truth")).alias("sound"))
 
 
-def _graph_ceiling(spark, d, relations: list[tuple[str, list[str]]], edges: list[tuple[int, int, str, str]], truth):
+def measured(spark, d, keys: list[tuple[str, str]]) -> list:
+    """rows, distinct values and greatest frequency (nulls left out) and n (all rows) of each table's key, in one job."""
+    found = None
+    for i, (name, key) in enumerate(keys):
+        counts = _t(spark, d, name).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("c"))
+        known = F.when(F.col("k").isNotNull(), F.col("c"))
+        one = counts.agg(F.lit(i).alias("place"), F.coalesce(F.sum(known), F.lit(0)).alias("rows"), F.count(known).alias("distinct"), F.coalesce(F.max(known), F.lit(0)).alias("degree"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+        found = one if found is None else found.unionByName(one)
+    return sorted(found.collect(), key=lambda r: r["place"])
+
+
+def _graph_ceiling(spark, d, relations: list[str], edges: list[tuple[int, int, str, str]], truth):
     """product, ceiling, truth, sound of a join graph whose degrees are measured."""
     from cardlens.operators.bounds import JoinGraph, JoinRelation, product_bound
 
-    rows = [_t(spark, d, name).count() for name, _ in relations]
+    ends = list(dict.fromkeys((i, k) for a, b, ka, kb in edges for i, k in ((a, ka), (b, kb))))
+    found = dict(zip(ends, measured(spark, d, [(relations[i], k) for i, k in ends]), strict=True))
+    rows = [next(r["n"] for (j, _), r in found.items() if j == i) for i in range(len(relations))]
     graph = JoinGraph([JoinRelation(r) for r in rows])
     for n, (a, b, ka, kb) in enumerate(edges):
         for i, k in ((a, ka), (b, kb)):
-            graph.relations[i] = graph.relations[i].with_degree(n, _degrees(spark, d, relations[i][0], k, "x").first()["degree_x"])
+            graph.relations[i] = graph.relations[i].with_degree(n, found[i, k]["degree"])
         graph = graph.with_edge(a, b, n)
     return truth.select(F.lit(product_bound(rows)).cast("double").alias("product"), F.lit(graph.ceiling()).cast("long").alias("ceiling"), "truth", (F.lit(graph.ceiling()) >= F.col("truth")).alias("sound"))
 
 
-@query("join_ceiling_chain3", f"""WITH {_degrees_sql("customer", "c_custkey", "c")}, {_degrees_sql("orders", "o_custkey", "oc")}, {_degrees_sql("orders", "o_orderkey", "oo")}, {_degrees_sql("lineitem", "l_orderkey", "l")},
+@query("join_ceiling_chain3", f"""WITH {degrees_sql("customer", "c_custkey", "c")}, {degrees_sql("orders", "o_custkey", "oc")}, {degrees_sql("orders", "o_orderkey", "oo")}, {degrees_sql("lineitem", "l_orderkey", "l")},
 n AS (SELECT (SELECT count(*) FROM customer) AS nc, (SELECT count(*) FROM orders) AS no, (SELECT count(*) FROM lineitem) AS nl), t AS (SELECT count(*) AS truth FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey),
 x AS (SELECT nc::DOUBLE * no * nl AS product, least(nc * degree_oc * degree_l, no * degree_c * degree_l, nl * degree_oo * degree_c) AS ceiling, truth FROM c, oc, oo, l, n, t)
 SELECT product, ceiling, truth, ceiling >= truth AS sound FROM x""")
 def _(spark, d):
     truth = _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("truth"))
-    return _graph_ceiling(spark, d, [("customer", []), ("orders", []), ("lineitem", [])], [(0, 1, "c_custkey", "o_custkey"), (1, 2, "o_orderkey", "l_orderkey")], truth)
+    return _graph_ceiling(spark, d, ["customer", "orders", "lineitem"], [(0, 1, "c_custkey", "o_custkey"), (1, 2, "o_orderkey", "l_orderkey")], truth)
 
 
-@query("join_ceiling_star", f"""WITH {_degrees_sql("lineitem", "l_partkey", "lp")}, {_degrees_sql("lineitem", "l_suppkey", "ls")}, {_degrees_sql("part", "p_partkey", "p")}, {_degrees_sql("supplier", "s_suppkey", "s")},
+@query("join_ceiling_star", f"""WITH {degrees_sql("lineitem", "l_partkey", "lp")}, {degrees_sql("lineitem", "l_suppkey", "ls")}, {degrees_sql("part", "p_partkey", "p")}, {degrees_sql("supplier", "s_suppkey", "s")},
 n AS (SELECT (SELECT count(*) FROM lineitem) AS nl, (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns), t AS (SELECT count(*) AS truth FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 x AS (SELECT nl::DOUBLE * np * ns AS product, least(nl * degree_p * degree_s, np * degree_lp * degree_s, ns * degree_ls * degree_p) AS ceiling, truth FROM lp, ls, p, s, n, t)
 SELECT product, ceiling, truth, ceiling >= truth AS sound FROM x""")
 def _(spark, d):
     truth = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).agg(F.count("*").alias("truth"))
-    return _graph_ceiling(spark, d, [("lineitem", []), ("part", []), ("supplier", [])], [(0, 1, "l_partkey", "p_partkey"), (0, 2, "l_suppkey", "s_suppkey")], truth)
+    return _graph_ceiling(spark, d, ["lineitem", "part", "supplier"], [(0, 1, "l_partkey", "p_partkey"), (0, 2, "l_suppkey", "s_suppkey")], truth)
 
 
 @query("join_ceiling_cycle", """SELECT count(*) AS truth, true AS sound, true AS tight FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey""")
@@ -237,7 +255,7 @@ def _(spark, d):
     c, o, l, s = (_t(spark, d, n) for n in ("customer", "orders", "lineitem", "supplier"))
     truth = c.join(o, c.c_custkey == o.o_custkey).join(l, l.l_orderkey == o.o_orderkey).join(s, (s.s_suppkey == l.l_suppkey) & (s.s_nationkey == c.c_nationkey)).agg(F.count("*").alias("truth"))
     edges = [(0, 1, "c_custkey", "o_custkey"), (1, 2, "o_orderkey", "l_orderkey"), (2, 3, "l_suppkey", "s_suppkey"), (3, 0, "s_nationkey", "c_nationkey")]
-    out = _graph_ceiling(spark, d, [("customer", []), ("orders", []), ("lineitem", []), ("supplier", [])], edges, truth)
+    out = _graph_ceiling(spark, d, ["customer", "orders", "lineitem", "supplier"], edges, truth)
     return out.select("truth", "sound", (F.col("ceiling") <= F.col("product")).alias("tight"))
 
 
@@ -245,8 +263,8 @@ def _(spark, d):
 def _(spark, d):
     from cardlens.operators.bounds import selectivity_estimate
 
-    n, m = _t(spark, d, "orders").count(), _t(spark, d, "customer").select("c_custkey").distinct().count()
-    return spark.createDataFrame([(round(selectivity_estimate([n, _t(spark, d, "customer").count()], [1.0 / m]), 3),)], "estimate double")
+    orders, customer = measured(spark, d, [("orders", "o_orderkey"), ("customer", "c_custkey")])
+    return spark.createDataFrame([(round(selectivity_estimate([orders["n"], customer["n"]], [1.0 / customer["distinct"]]), 3),)], "estimate double")
 
 
 #: A store of observations derived from orders: one for each customer, estimated by the average.
@@ -301,8 +319,7 @@ def _(spark, d):
     orders = _t(spark, d, "orders")
     bound = cms.estimates(orders.select(F.col("o_orderstatus").alias("status")), "status", cms.counters(orders, "o_orderstatus"))
     total = orders.count()
-    pre = (F.col("estimate") <= 1000) | (F.col("estimate") <= 0.01 * total)
-    return bound.select("status", F.col("estimate").alias("bound"), F.when(pre, "pre_filter").otherwise("post_filter").alias("strategy"))
+    return bound.select("status", F.col("estimate").alias("bound"), strategy_column(F.col("estimate"), F.lit(total)).alias("strategy"))
 
 
 @query("hint_planned_join", "SELECT c.c_mktsegment, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
@@ -321,7 +338,7 @@ def _(spark, d):
 
     from cardlens.sources import puffin, tables
 
-    blobs = puffin.inspect(tables.build_sidecar(_t(spark, d, "nation"), buckets=4))["blobs"]
+    blobs = puffin.inspect(tables.build_sidecar(_t(spark, d, "orders"), buckets=64))["blobs"]
     return spark.createDataFrame([(i, b["type"], b["length"], json.dumps(b, sort_keys=True)) for i, b in enumerate(blobs)], "blob int, kind string, length long, entry string")
 
 
@@ -329,5 +346,10 @@ def _(spark, d):
 def _(spark, d):
     from cardlens.plans.correctors import GradientBoosted
 
-    rows = _observed(spark, d).withColumns({"baseline": F.col("est_rows").cast("double"), "join_depth": (F.col("id") % 4).cast("double")} | {n: F.lit(0.0) for n in ("left_rows", "right_rows", "left_distinct", "right_distinct", "predicate_count")})
-    return GradientBoosted.fit(rows, trees=5).score(rows).select("id", "est_rows", "actual_rows", "corrected")
+    orders = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c"))
+    customers = _t(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    nations = customers.groupBy("c_nationkey").agg(F.count("*").alias("left_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("right_rows"), F.countDistinct("c_custkey").alias("left_distinct"), F.countDistinct("o_custkey").alias("right_distinct"))
+    sides = ["left_rows", "right_rows", "left_distinct", "right_distinct"]
+    measured_features = customers.join(F.broadcast(nations), "c_nationkey").select(F.col("c_custkey").alias("id"), *[F.col(n).cast("double").alias(n) for n in sides], F.length("c_mktsegment").cast("double").alias("predicate_count"), (F.col("c_nationkey") % 4).cast("double").alias("join_depth"))
+    rows = _observed(spark, d).withColumn("baseline", F.col("est_rows").cast("double")).join(measured_features, "id")
+    return GradientBoosted.fit(rows).score(rows).select("id", "est_rows", "actual_rows", "corrected")

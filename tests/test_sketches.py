@@ -189,3 +189,38 @@ def test_grid_never_underestimates(spark):
     assert empty.merge(h) is h
     with pytest.raises(ValueError):
         h.merge(histograms.CorrelatedHistogram(4, 16, layout, [0] * 64))
+
+
+def test_equi_depth_ranges_hold_about_equally_many_values_whatever_their_spread(spark):
+    """One far value does not push all others into one range; ranks are those of one sort."""
+    import numpy as np
+
+    from cardlens.operators import ranks
+
+    x = np.r_[np.random.default_rng(3).normal(0, 1, 5000), 1e15, -1e300, [7.0] * 3000].tolist()
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double")
+    found = sorted(ranks.ranked(df, F.col("v"), 50).collect(), key=lambda r: r["v"])
+    order, counts = np.unique(x, return_counts=True)
+    last = np.cumsum(counts)
+    assert [(r["v"], r["c"], r["first"], r["last"], r["n"]) for r in found] == [(v, c, e - c + 1, e, len(x)) for v, c, e in zip(order.tolist(), counts.tolist(), last.tolist(), strict=True)]
+    bounds = sorted({order[i] for i in range(40, len(order), 50)})
+    placed = df.filter("v IS NOT NULL").select(ranks._range(F.col("v"), [float(b) for b in bounds]).alias("p"), "v").collect()
+    assert all(r["p"] == int(np.searchsorted(bounds, r["v"])) for r in placed)
+    narrow, wide = (histograms.EquiDepth.collect(histograms.equi_depth(df, "v", 16, n)) for n in (40, 10**6))
+    assert narrow == wide and narrow.total == len(x)
+
+
+def test_bloom_positions_in_halves_equal_whole_numbers(spark):
+    import struct
+
+    import xxhash
+
+    values = [0, 1, -1, 2**62, -(2**63), 12345678901]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for bits, hashes in ((64, 1), (9586, 7), (2**33, 30), (2**33 - 9, 5)):
+        out = {r["v"]: r["p"] for r in df.select("v", bloom.positions(F.col("v"), bits, hashes).alias("p")).collect()}
+        for v in values:
+            h1, h2 = (xxhash.xxh64_intdigest(struct.pack("<q", v), s) for s in bloom.SEEDS)
+            assert out[v] == [(h1 + i * h2) % 2**64 % bits for i in range(hashes)]
+    with pytest.raises(ValueError):
+        bloom.BloomFilter.collect(spark.createDataFrame([], "bit long"), 2**31, 3)
