@@ -10,6 +10,11 @@ bits and their values. Pairs within a leaf are compared directly; pairs of leave
 whole where the differences accumulated in their shared constant bits exceed RADIUS, and compared otherwise. Only a
 spanning forest of what a comparison finds is emitted, never all pairs.
 
+A pattern of more than CROWDED leaves is that of a large group of near copies, whose leaves are too alike to be pruned by
+bits. There the links within leaves, of all patterns, are made components first; a leaf that is linked up in itself
+belongs to one of them, and leaves of one component need no comparison. All leaves of a pattern but those of its largest
+component are paired with the rest, so pairs grow with the leaves, not with their square. Only the work differs, not the result.
+
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked to all such; fewer than 4
 words make one shingle; repeated rows are copies; a null doc_id is never a component's id unless there is no other (then
 component_id is null); an empty table gives an empty table; other columns are ignored, and kept by near_dedup.
@@ -33,6 +38,8 @@ from .common import connected_components, free_prefix, python_batches, row_id, w
 RADIUS = 4
 SHINGLE = 4
 LEAF = 512
+#: Leaves of one pattern from which on components are made first.
+CROWDED = 32
 _LANES = np.uint64(0x0101010101010101)
 _BATCH = 255 * 64
 
@@ -105,20 +112,20 @@ def _star(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return fps[used[leaf]], fps[used[label[leaf]]]
 
 
-_INDEXED = pa.schema([("t", pa.int32()), ("pattern", pa.int64()), ("leaf", pa.string()), ("shared", pa.int64()), ("const", pa.int64()), ("fps", pa.binary()), ("u", pa.int64()), ("v", pa.int64())])
-_INDEXED_DDL = "t int, pattern long, leaf string, shared long, const long, fps binary, u long, v long"
+_INDEXED = pa.schema([("t", pa.int32()), ("pattern", pa.int64()), ("leaf", pa.string()), ("shared", pa.int64()), ("const", pa.int64()), ("rep", pa.int64()), ("fps", pa.binary()), ("u", pa.int64()), ("v", pa.int64())])
+_INDEXED_DDL = "t int, pattern long, leaf string, shared long, const long, rep long, fps binary, u long, v long"
 
 
 def _rows(**columns: list) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _INDEXED], schema=_INDEXED)
+    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _INDEXED], schema=_INDEXED)
 
 
-def _leaves(t: np.ndarray, p: np.ndarray, x: np.ndarray, name: Iterator[str]) -> Iterator[pa.RecordBatch]:
+def _leaves(t: np.ndarray, p: np.ndarray, x: np.ndarray, name: Iterator[str], size: int) -> Iterator[pa.RecordBatch]:
     """Links within the leaves of sorted rows; the leaves themselves where their pattern may have others."""
     group = np.cumsum(np.r_[True, (t[1:] != t[:-1]) | (p[1:] != p[:-1])]) - 1
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    within = (np.arange(len(x)) - start[group]) // LEAF
+    within = (np.arange(len(x)) - start[group]) // size
     leaf = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (within[1:] != within[:-1])]) - 1
     a, b, d, at = [], [], 1, np.arange(len(x))
     while len(at := at[at + d < len(x)]) and len(at := at[leaf[at] == leaf[at + d]]):
@@ -126,9 +133,13 @@ def _leaves(t: np.ndarray, p: np.ndarray, x: np.ndarray, name: Iterator[str]) ->
         a.append(near)
         b.append(near + d)
         d += 1
+    parts = np.bincount(leaf) - 1  # links that a leaf lacks to be one
     if any(map(len, a)):
-        u, v = _star(x, np.concatenate(a), np.concatenate(b))
-        yield _rows(u=u.view(np.int64), v=v.view(np.int64))
+        a, b = np.concatenate(a), np.concatenate(b)
+        label = _forest(len(x), a, b)
+        child = np.flatnonzero(label != np.arange(len(x)))
+        parts -= np.bincount(leaf[child], minlength=len(parts))
+        yield _rows(u=x[child].view(np.int64), v=x[label[child]].view(np.int64))
     begins = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
     ends = np.r_[begins[1:], len(x)]
     several = np.bincount(group[begins])[group[begins]] > 1
@@ -137,23 +148,28 @@ def _leaves(t: np.ndarray, p: np.ndarray, x: np.ndarray, name: Iterator[str]) ->
     every = np.array([np.bitwise_and.reduce(x[i:j]) for i, j in zip(begins, ends, strict=True)], np.uint64)
     some = np.array([np.bitwise_or.reduce(x[i:j]) for i, j in zip(begins, ends, strict=True)], np.uint64)
     const = ~(every ^ some)
-    yield _rows(t=t[begins], pattern=p[begins], leaf=[next(name) for _ in begins], shared=(every & const).view(np.int64), const=const.view(np.int64), fps=[x[i:j].tobytes() for i, j in zip(begins, ends, strict=True)])
+    rep = pa.array(x[begins].view(np.int64), mask=parts[several] > 0)
+    yield _rows(rep=rep, t=t[begins], pattern=p[begins], leaf=[next(name) for _ in begins], shared=(every & const).view(np.int64), const=const.view(np.int64), fps=[x[i:j].tobytes() for i, j in zip(begins, ends, strict=True)])
+
 
+def _index(size: int):
+    """Of a partition sorted by t, pattern and Gray rank: links within leaves of that size, and the leaves; a pattern that is cut between two lots of rows has its leaves listed from both."""
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by t, pattern and Gray rank; a pattern that is cut between two lots of rows has its leaves listed from both."""
-    part = TaskContext.get().partitionId()
-    name = (f"{part}-{i}" for i in count())
-    held: list[tuple] = []
-    for batch in batches:
-        held.append((batch["t"].to_numpy(), batch["pattern"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)))
-        if sum(len(x) for _, _, x in held) >= 64 * LEAF:
-            t, p, x = map(np.concatenate, zip(*held, strict=True))
-            cut = len(x) // LEAF * LEAF
-            yield from _leaves(t[:cut], p[:cut], x[:cut], name)
-            held = [(t[cut:], p[cut:], x[cut:])]
-    if any(len(x) for _, _, x in held):
-        yield from _leaves(*map(np.concatenate, zip(*held, strict=True)), name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        name = (f"{part}-{i}" for i in count())
+        held: list[tuple] = []
+        for batch in batches:
+            held.append((batch["t"].to_numpy(), batch["pattern"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)))
+            if sum(len(x) for _, _, x in held) >= 64 * size:
+                t, p, x = map(np.concatenate, zip(*held, strict=True))
+                cut = len(x) // size * size
+                yield from _leaves(t[:cut], p[:cut], x[:cut], name, size)
+                held = [(t[cut:], p[cut:], x[cut:])]
+        if any(len(x) for _, _, x in held):
+            yield from _leaves(*map(np.concatenate, zip(*held, strict=True)), name, size)
+
+    return run
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,6 +183,28 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
 
+def leaf_pairs(nodes: DataFrame, within: DataFrame) -> DataFrame:
+    """leaf, leaf2: what is to be compared, each pair once for each pattern."""
+    key = ["t", "pattern"]
+    sizes = nodes.groupBy(*key).agg(F.count("*").alias("leaves"))
+    crowded = sizes.filter(F.col("leaves") > CROWDED).select(*key)
+    named = nodes.withColumns({"comp": F.lit(None).cast("long"), "main": F.lit(None).cast("long")})
+    if crowded.limit(1).count():
+        roots = written(connected_components(within), "leaf-roots")
+        comp = F.coalesce("root", "rep").alias("comp")
+        named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(*nodes.columns, comp)
+        most = named.join(crowded, key, "left_semi").filter("comp IS NOT NULL").groupBy(*key, "comp").agg(F.count("*").alias("k"))
+        most = most.groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("best")).select(*key, F.col("best.comp").alias("main"))
+        named = written(named.join(most, key, "left"), "named-leaves")
+    rest = F.col("comp").isNull() | F.col("main").isNull() | (F.col("comp") != F.col("main"))
+    named = named.withColumn("rest", rest)
+    others = named.filter("rest").select(*key, *[F.col(c).alias(f"{c}2") for c in ("leaf", "shared", "const", "comp")])
+    apart = F.bit_count(F.col("shared").bitwiseXOR(F.col("shared2")).bitwiseAND(F.col("const")).bitwiseAND(F.col("const2")))
+    once = (F.col("leaf") < F.col("leaf2")) | (~F.col("rest"))
+    linked = F.coalesce(F.col("comp") == F.col("comp2"), F.lit(False))
+    return named.join(others, key).filter(once & (apart <= RADIUS) & ~linked).select("leaf", "leaf2")
+
+
 def links(fps: DataFrame, blocks: int | None = None) -> DataFrame:
     """(u, v): edges that connect just the fingerprints (column fp, all different) that links connect."""
     spark = fps.sparkSession
@@ -177,12 +215,10 @@ def links(fps: DataFrame, blocks: int | None = None) -> DataFrame:
     rows = fps.select("fp", pattern.alias("e")).select("e.t", "e.pattern", "fp", _gray_rank_column(F.col("fp")).alias("rank"))
     order = ["t", "pattern", F.shiftrightunsigned("rank", 1), "rank"]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("t", "pattern", "fp")
-    indexed = written(ranged.mapInArrow(_index, _INDEXED_DDL), "gray-index")
+    indexed = written(ranged.mapInArrow(_index(LEAF), _INDEXED_DDL), "gray-index")
     within = indexed.filter("u IS NOT NULL").select("u", "v")
-    nodes = indexed.filter("leaf IS NOT NULL").select("t", "pattern", "leaf", "shared", "const")
-    others = nodes.select("t", "pattern", F.col("leaf").alias("leaf2"), F.col("shared").alias("shared2"), F.col("const").alias("const2"))
-    apart = F.bit_count(F.col("shared").bitwiseXOR(F.col("shared2")).bitwiseAND(F.col("const")).bitwiseAND(F.col("const2")))
-    pairs = nodes.join(others, ["t", "pattern"]).filter((F.col("leaf") < F.col("leaf2")) & (apart <= RADIUS)).select("leaf", "leaf2")
+    nodes = indexed.filter("leaf IS NOT NULL").select("t", "pattern", "leaf", "shared", "const", "rep")
+    pairs = leaf_pairs(nodes, within)
     content = indexed.filter("leaf IS NOT NULL").select("leaf", "fps")
     loaded = pairs.join(content, "leaf").join(content.select(F.col("leaf").alias("leaf2"), F.col("fps").alias("other")), "leaf2").select("fps", "other")
     return within.unionByName(loaded.mapInPandas(_compare, "u long, v long"))
