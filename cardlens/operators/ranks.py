@@ -16,10 +16,11 @@ def ranked(rows: DataFrame, value: Column, range_values: int = RANGE_VALUES) ->
     numbers, whatever their spread; ranges are sorted apart, and each one's ranks begin after the sum of those before.
     """
     values = rows.select(value.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("c"))
-    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    different, cuts = values.agg(F.count("*"), F.percentile_approx("v", shares, 20 * MOST_RANGES)).first()
-    parts = min(MOST_RANGES, -(-different // range_values))
-    bounds = sorted({cuts[round(i * MOST_RANGES / parts) - 1] for i in range(1, parts)}) if parts > 1 else []
+    parts = min(MOST_RANGES, -(-values.count() // range_values))
+    bounds = []
+    if parts > 1:
+        cuts = values.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * MOST_RANGES)).first()[0]
+        bounds = sorted(set(cuts))
     parted = values.withColumn("part", _range(F.col("v"), bounds))
     sums = parted.groupBy("part").agg(F.sum("c").alias("s"))  # a row for each range
     along = Window.orderBy("part")

@@ -51,6 +51,8 @@ class GradientBoosted:
     clamped to the ceiling. score() corrects a whole DataFrame in one pass.
     """
 
+    ROWS_OF_A_TASK = 100_000
+
     def __init__(self, model, additive: bool = False, ceiling: int = LIMIT, training_rows: int = 0):
         self.model, self.additive, self.ceiling, self.training_rows = model, additive, ceiling, training_rows
         self.name = "gbt-additive" if additive else "gbt"
@@ -65,10 +67,15 @@ class GradientBoosted:
             known = given.withColumn("label", F.col("actual_rows").cast("double"))
         else:
             known = given.filter("est_rows > 0 AND actual_rows > 0").withColumn("label", F.log(F.col("actual_rows") / F.col("est_rows")))
-        n = known.count()
-        if not n:
-            raise ValueError("no rows to learn from")
-        return cls(GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=1, seed=1).fit(_vector(known)), additive, ceiling, n)
+        known = _vector(known).select("features", "label").persist()
+        try:
+            n = known.count()
+            if not n:
+                raise ValueError("no rows to learn from")
+            few = known.coalesce(-(-n // cls.ROWS_OF_A_TASK))  # each of the many small jobs has a task for each partition
+            return cls(GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=1, seed=1).fit(few), additive, ceiling, n)
+        finally:
+            known.unpersist()
 
     def correct(self, features: CorrectionFeatures) -> int | None:
         from pyspark.ml.linalg import Vectors
