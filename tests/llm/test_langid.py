@@ -68,3 +68,24 @@ def test_gradients_against_differences():
             down = loss()
             flat[i] = old
             assert abs((up - down) / 2e-4 - g[i]) < 2e-3
+
+
+def test_the_query_is_the_network_window_by_window(spark, sf_dir):
+    """Every whole text, by the filters themselves and one window at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(langid.training_windows(docs.select("doc_id", "text", "lang")))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = langid.op7_language_id(spark, sf_dir).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        data = (texts[r["doc_id"]] or "").lower().encode().replace(b"\0", b" ")
+        if not langid.has_letter(texts[r["doc_id"]]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = np.zeros(len(model.classes))
+        for i in range(0, len(data), langid.WINDOW):
+            piece = data[i : i + langid.WINDOW]
+            x = np.frombuffer(piece.ljust(langid.WINDOW, b"\0"), np.uint8)[None]
+            total += len(piece) * model._softmax(model._pool(model._responses(x)[0].max(axis=1)))[0]
+        p = total / len(data)
+        assert abs(r["score"] - p.max()) < 1e-4 and p[model.classes.index(r["lang_pred"])] > p.max() - 1e-4
