@@ -107,6 +107,36 @@ SHAPES = {
     "snowflake_min": """SELECT min(p.p_name) AS part_name, min(s.s_name) AS supplier_name, min(c.c_name) AS customer_name FROM lineitem l, orders o, customer c, part p, supplier s, nation ns, nation nc, region r
         WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND s.s_nationkey = ns.n_nationkey AND c.c_nationkey = nc.n_nationkey
         AND nc.n_regionkey = r.r_regionkey AND r.r_name IN ('ASIA', 'EUROPE') AND p.p_name LIKE '%blue%' AND (o.o_orderstatus = 'F' OR o.o_totalprice BETWEEN 1000 AND 50000) AND p.p_size != 7 AND s.s_name IS NOT NULL""",
+    "snowflake_notes": """SELECT min(o.o_orderpriority) AS priority, min(p.p_name) AS part_name, min(s.s_name) AS supplier_name FROM part p, lineitem l, orders o, supplier s
+        WHERE p.p_type = 'PROMO' AND o.o_orderpriority NOT LIKE '%URGENT%' AND (o.o_orderpriority LIKE '%HIGH%' OR o.o_orderpriority LIKE '%LOW%') AND s.s_acctbal < 2000
+        AND p.p_partkey = l.l_partkey AND l.l_orderkey = o.o_orderkey AND s.s_suppkey = l.l_suppkey""",
+    "snowflake_keyword": """SELECT min(c.c_name) AS customer_name FROM nation n, part p, lineitem l, orders o, customer c
+        WHERE n.n_name = 'NATION_7' AND p.p_name = 'small ring' AND n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_partkey = p.p_partkey""",
+    "snowflake_in_list": """SELECT min(p.p_name) AS part_name, max(o.o_totalprice) AS dearest FROM part p, lineitem l, orders o, customer c, nation n
+        WHERE p.p_name LIKE '%ring%' AND n.n_name IN ('NATION_1', 'NATION_4', 'NATION_9', 'NATION_16') AND o.o_orderdate > DATE '1997-06-30'
+        AND p.p_partkey = l.l_partkey AND o.o_orderkey = l.l_orderkey AND c.c_custkey = o.o_custkey AND n.n_nationkey = c.c_nationkey""",
+    "snowflake_rating": """SELECT min(l.l_extendedprice) AS cheapest, min(p.p_name) AS part_name FROM region r, nation n, supplier s, lineitem l, part p
+        WHERE r.r_name = 'ASIA' AND p.p_type LIKE '%ECONOMY%' AND l.l_discount > 0.05 AND p.p_size BETWEEN 10 AND 20 AND r.r_regionkey = n.n_regionkey AND n.n_nationkey = s.s_nationkey
+        AND s.s_suppkey = l.l_suppkey AND l.l_partkey = p.p_partkey""",
+    "snowflake_two_nations": """SELECT min(ns.n_name) AS supplier_nation, min(nc.n_name) AS customer_nation, min(p.p_brand) AS brand FROM nation ns, nation nc, region r, supplier s, customer c, orders o, lineitem l, part p
+        WHERE ns.n_name != 'NATION_0' AND (nc.n_name LIKE '%_1%' OR nc.n_name LIKE '%_2%') AND ns.n_regionkey = nc.n_regionkey AND ns.n_regionkey = r.r_regionkey AND nc.n_regionkey = r.r_regionkey AND r.r_name != 'AFRICA'
+        AND s.s_nationkey = ns.n_nationkey AND c.c_nationkey = nc.n_nationkey AND c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND l.l_partkey = p.p_partkey AND o.o_orderstatus = 'P'""",
+    "snowflake_linked": """SELECT min(c.c_name) AS customer_name, min(a.o_orderkey) AS first_order, min(b.o_orderkey) AS linked_order FROM customer c, orders a, orders b, nation n
+        WHERE a.o_custkey = c.c_custkey AND b.o_custkey = c.c_custkey AND a.o_custkey = b.o_custkey AND a.o_orderkey != b.o_orderkey AND a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '5-LOW'
+        AND a.o_totalprice > 300000 AND b.o_totalprice < 100000 AND n.n_nationkey = c.c_nationkey AND n.n_name BETWEEN 'NATION_1' AND 'NATION_3'""",
+    "snowflake_two_infos": """SELECT min(p.p_name) AS returned_part, min(q.p_name) AS kept_part, count(*) AS pairs FROM lineitem a, lineitem b, orders o, part p, part q
+        WHERE a.l_orderkey = o.o_orderkey AND b.l_orderkey = o.o_orderkey AND a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'R' AND b.l_returnflag = 'N' AND a.l_partkey = p.p_partkey AND b.l_partkey = q.p_partkey
+        AND p.p_type = 'SMALL' AND q.p_type = 'LARGE' AND o.o_orderstatus = 'O'""",
+    "snowflake_not_null": """SELECT min(s.s_name) AS supplier_name, min(c.c_mktsegment) AS segment FROM supplier s, nation n, customer c, orders o, lineitem l
+        WHERE s.s_name IS NOT NULL AND (s.s_name LIKE '%1%' OR s.s_name LIKE 'S%') AND ((c.c_mktsegment = 'MACHINERY' AND c.c_acctbal > 5000) OR (c.c_mktsegment = 'BUILDING' AND c.c_acctbal < 1000)) AND n.n_nationkey = s.s_nationkey
+        AND n.n_nationkey = c.c_nationkey AND s.s_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey""",
+    "snowflake_wide": """SELECT min(p.p_name) AS part_name, min(q.p_name) AS other_part, min(t.s_name) AS other_supplier, min(c.c_name) AS customer_name
+        FROM orders o, customer c, nation nc, region rc, lineitem a, part p, supplier s, nation ns, region rs, lineitem b, part q, supplier t, nation nt, region rt
+        WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = nc.n_nationkey AND nc.n_regionkey = rc.r_regionkey AND a.l_orderkey = o.o_orderkey AND a.l_partkey = p.p_partkey AND a.l_suppkey = s.s_suppkey
+        AND s.s_nationkey = ns.n_nationkey AND ns.n_regionkey = rs.r_regionkey AND b.l_orderkey = o.o_orderkey AND b.l_orderkey = a.l_orderkey AND b.l_partkey = q.p_partkey AND b.l_suppkey = t.s_suppkey
+        AND t.s_nationkey = nt.n_nationkey AND nt.n_regionkey = rt.r_regionkey AND rc.r_name = 'EUROPE' AND rs.r_name IN ('ASIA', 'AMERICA') AND rt.r_name != 'EUROPE' AND p.p_size > 40 AND q.p_brand LIKE 'Brand#1%' AND a.l_linenumber != b.l_linenumber""",
+    "snowflake_no_match": """SELECT min(p.p_name) AS part_name, min(s.s_name) AS supplier_name FROM part p, lineitem l, supplier s
+        WHERE p.p_partkey = l.l_partkey AND l.l_suppkey = s.s_suppkey AND p.p_brand = 'Brand#3' AND s.s_name LIKE '%no such name%'""",
     "cyclic_4way": """SELECT count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_nationkey = c.c_nationkey""",
     "null_join_keys": """SELECT count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS k FROM orders) a JOIN (SELECT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) b ON a.k = b.k""",
     "empty_side_join": "SELECT count(*) AS n FROM orders o JOIN (SELECT * FROM customer WHERE c_custkey < 0) c ON o.o_custkey = c.c_custkey",

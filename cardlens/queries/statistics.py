@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from cardlens.operators import bounds, cms, hll
@@ -21,6 +25,14 @@ def query(name: str, sql: str):
     return add
 
 
+def scratch_folder(spark) -> str:
+    """The shared folder; a temporary one where none is set and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not (spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or "file://" + tempfile.mkdtemp(prefix="cardlens-")).rstrip("/")
+
+
 def _three(spark, d):
     l, o, c = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))
     return l, o.filter("o_totalprice > 50000"), c
@@ -81,6 +93,27 @@ def _(spark, d):
     return spark.createDataFrame([(n, s.distinct_count, tables.sidecar_rows(data)) for n, s in found.items()], "name string, distinct_count long, row_count long")
 
 
+@query("iceberg_column_stats", f"SELECT name, distinct_count, 7::BIGINT AS snapshot_id FROM ({_sidecar_sql('o_orderkey', ORDER_KEYS)} UNION ALL {_sidecar_sql('o_custkey', CUSTOMER_KEYS)})")
+def _(spark, d):
+    """Column statistics by way of a table's metadata: the sidecar of the current snapshot counts, not that of an older one."""
+    from cardlens.sources import iceberg, shared, tables
+
+    place = f"{scratch_folder(spark)}/iceberg-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    paths = {7: f"{place}/new.puffin", 3: f"{place}/old.puffin"}
+    for snapshot, df in ((7, orders), (3, orders.filter("o_custkey < 100"))):
+        shared.write_bytes(spark, paths[snapshot], tables.build_sidecar(df))
+    known = {
+        "current-snapshot-id": 7, "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": i, "name": n} for i, n in enumerate(orders.columns, 1)]}],
+        "snapshots": [{"snapshot-id": s, "sequence-number": n} for n, s in enumerate((3, 7), 1)], "statistics": [{"snapshot-id": s, "statistics-path": p} for s, p in paths.items()],
+    }
+    shared.write_text(spark, f"{place}/metadata/v2.metadata.json", json.dumps(known))
+    snapshot = iceberg.sidecars(iceberg.metadata(spark, place)).snapshot_id
+    found = [(n, s.distinct_count, snapshot) for n, s in iceberg.column_stats(spark, place).items()]
+    shared.delete(spark, place)
+    return spark.createDataFrame(found, "name string, distinct_count long, snapshot_id long")
+
+
 @query("chain_bound", f"""WITH {degrees_sql("customer", "c_custkey", "c")}, {degrees_sql("orders", "o_custkey", "a")}, {degrees_sql("orders", "o_orderkey", "b")}, {degrees_sql("lineitem", "l_orderkey", "l")},
 k AS (SELECT rows_c, rows_a, rows_l, rows_c - distinct_c + 1 AS c, rows_a - distinct_a + 1 AS a, rows_b - distinct_b + 1 AS b, rows_l - distinct_l + 1 AS l FROM c, a, b, l)
 SELECT least(rows_c::HUGEINT * rows_a * rows_l, rows_c::HUGEINT * a * l, rows_a::HUGEINT * c * l, rows_l::HUGEINT * b * c)::DOUBLE AS chain, rows_c::DOUBLE * rows_a * rows_l AS agm, rows_l AS clamped FROM k""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cardlens import cli, sql
 from cardlens.operators import histograms, hll
-from cardlens.sources import portable, puffin, tables
+from cardlens.sources import iceberg, portable, puffin, shared, tables
 
 
 def sidecar(fields=(1,), snapshot=-1, sequence=-1, compress=False):
@@ -140,3 +140,33 @@ def test_synthetic_tables_hold_their_correlation(spark):
 
 def test_page_cache(sf_dir):
     assert tables.evict_page_cache(sf_dir) >= 14
+
+
+def test_iceberg_metadata(spark, tmp_path):
+    def write(version, hint=None, **known):
+        path = f"{place}/metadata/{version}.metadata.json"
+        shared.write_text(spark, path, json.dumps({"current-schema-id": 1, "schemas": [{"schema-id": 0, "fields": []}, {"schema-id": 1, "fields": [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}]}]} | known))
+
+    place = f"file://{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        iceberg.metadata(spark, place)
+    write("v1", **{"current-snapshot-id": -1, "snapshots": []})
+    assert iceberg.sidecars(iceberg.metadata(spark, place)) == iceberg.Sidecars(None, None, ())
+    assert iceberg.column_stats(spark, place) == {"a": portable.ColumnStats(), "b": portable.ColumnStats()}
+    for name, data in (("new", sidecar((1,), 7, 2)), ("any", sidecar((2,))), ("old", sidecar((1,), 3, 1)), ("field", sidecar((9,)))):
+        shared.write_bytes(spark, f"{place}/{name}.puffin", data)
+    snapshots = [{"snapshot-id": 3, "sequence-number": 1}, {"snapshot-id": 7, "sequence-number": 2}]
+    files = lambda *names: [{"snapshot-id": 3 if n == "old" else 7, "statistics-path": f"{place}/{n}.puffin"} for n in names]
+    write("v2", **{"current-snapshot-id": 7, "snapshots": snapshots, "statistics": files("new", "old", "any", "new")})
+    found = iceberg.sidecars(iceberg.metadata(spark, place))
+    assert found == iceberg.Sidecars(7, 2, (f"{place}/any.puffin", f"{place}/new.puffin"))
+    stats = iceberg.column_stats(spark, place)
+    assert stats["a"].distinct_count == stats["b"].distinct_count > 0 and stats["a"].histogram.counts == [2, 2]
+    write("00010-abc", **{"current-snapshot-id": 3, "snapshots": snapshots, "statistics": files("old")})
+    assert iceberg.column_stats(spark, place)["a"].distinct_count
+    shared.write_text(spark, f"{place}/metadata/version-hint.text", "2")
+    assert iceberg.sidecars(iceberg.metadata(spark, place)).snapshot_id == 7
+    with pytest.raises(puffin.PuffinError):
+        iceberg.load(spark, iceberg.Sidecars(7, 2, (f"{place}/old.puffin",)))
+    with pytest.raises(puffin.PuffinError):
+        portable.by_schema(iceberg.load(spark, iceberg.Sidecars(7, 2, (f"{place}/field.puffin",))), {1: "a"})
