@@ -145,6 +145,7 @@ SHAPES = {
 }
 #: FROM lists for Spark, which joins in their order: customers meet suppliers of their nation or region only by way of their own orders.
 FROM = {
+    "snowflake_two_nations": "customer c, nation nc, region r, orders o, lineitem l, supplier s, nation ns, part p",
     "snowflake_not_null": "customer c, orders o, lineitem l, supplier s, nation n",
 }
 TEXTS = {f"tpch_{k}": v for k, v in TPCH.items()} | {f"synthetic_{k}": v for k, v in SYNTHETIC.items()} | {f"e2e_{k}": v for k, v in E2E.items()} | SHAPES
