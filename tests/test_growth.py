@@ -2,10 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cardlens.plans import capture
-from cardlens.queries import registry, relational
+from cardlens.queries import registry, relational, sketch_queries
 from cardlens.sources.tables import TABLES
 
 
@@ -32,3 +33,29 @@ def test_customers_meet_suppliers_by_way_of_orders(spark, many_people, name):
     for t in TABLES:
         oracle.execute(f"CREATE VIEW {t} AS SELECT * FROM '{many_people}/{t}.parquet/*.parquet'")
     assert [tuple(r) for r in rows] == oracle.execute(registry.ORACLE_SQL[name]).fetchall()
+
+
+@pytest.fixture
+def times(monkeypatch):
+    """Lets a module measure k times the rows and the distinct values that its tables have, one rows list for each call."""
+    def set_up(module, k):
+        real, seen = sketch_queries.measured, []
+
+        def more(*args):
+            found = [Row(**r.asDict() | {n: r[n] * k for n in ("rows", "distinct", "n")}) for r in real(*args)]
+            seen.append([r["n"] for r in found])
+            return found
+
+        monkeypatch.setattr(module, "measured", more)
+        return seen
+
+    return set_up
+
+
+def test_chain_ceiling_beyond_64_bits(spark, sf_dir, times):
+    plain = registry.QUERIES["join_ceiling_chain3"](spark, sf_dir).first()
+    seen = times(sketch_queries, 10**7)
+    row = registry.QUERIES["join_ceiling_chain3"](spark, sf_dir).first()
+    c, o, _, l = map(float, seen[0])
+    assert row["product"] == c * o * l > 2**64
+    assert (row["ceiling"], row["truth"], row["sound"]) == (plain["ceiling"] * 10**7, plain["truth"], True)
