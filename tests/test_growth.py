@@ -1,5 +1,7 @@
 """Queries on tables that grew: keys shifted for each copy, as in the driver's larger tables."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import Row
@@ -59,3 +61,10 @@ def test_chain_ceiling_beyond_64_bits(spark, sf_dir, times):
     c, o, _, l = map(float, seen[0])
     assert row["product"] == c * o * l > 2**64
     assert (row["ceiling"], row["truth"], row["sound"]) == (plain["ceiling"] * 10**7, plain["truth"], True)
+
+
+def test_cycle_beyond_64_bits(spark, sf_dir, times):
+    plain = registry.QUERIES["join_ceiling_cycle"](spark, sf_dir).first()
+    seen = times(sketch_queries, 10**6)
+    assert tuple(registry.QUERIES["join_ceiling_cycle"](spark, sf_dir).first()) == tuple(plain) == (plain["truth"], True, True)
+    assert math.prod(seen[0][::2]) > 2**64
